@@ -116,3 +116,25 @@ def bounded_sample(ids: DataFrame, key: str, most: int) -> DataFrame:
         return ids
     unit = F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     return ids.where(unit < 0.98 * most / n).limit(most)
+
+
+#: Ids that are dropped by a broadcast: at most so many, about 16 MB.
+MAX_BROADCAST_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose id is in the first column of ``gone``; all columns stay.
+
+    A list of at most ``MAX_BROADCAST_IDS`` ids is broadcast; a longer one is joined with
+    a shuffle.  Null ids in ``gone`` take out rows with a null id.
+    """
+    from pyspark.sql import functions as F
+
+    name = free_name(docs.columns, "gone_id")
+    ids = cut_lineage(gone.select(F.col(gone.columns[0]).alias(name)).distinct())
+    n = ids.count()
+    if not n:
+        return docs
+    if n <= MAX_BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs[id_col].cast(ids.schema[name].dataType).eqNullSafe(ids[name]), "left_anti")

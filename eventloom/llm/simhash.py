@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.common import cut_lineage, free_name, map_arrow, map_texts
+from eventloom.llm.common import cut_lineage, map_arrow, map_texts, without_ids
 from eventloom.llm.graph import components
 
 SHINGLE = 4
@@ -188,6 +188,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dense: int = DENSE) -> DataFrame:
     """``docs`` without the documents whose group has a lesser id; all columns stay."""
     groups_of = near_duplicates(docs, id_col, text_col, dense)
-    gone = free_name(docs.columns, "gone")
-    lost = groups_of.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct()
-    return docs.join(lost, docs[id_col].cast("long") == lost[gone], "left_anti")
+    return without_ids(docs, id_col, groups_of.where(F.col(id_col) != F.col("component_id")).select(id_col))
