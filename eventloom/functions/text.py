@@ -77,16 +77,21 @@ def fresh_ids(key: Column) -> Column:
     return F.struct(F.md5(key).alias("trace_id"), F.substring(F.md5(F.concat(key, F.lit("/span"))), 1, 16).alias("span_id"))
 
 
+def whole(c: Column, by: int) -> Column:
+    """``c`` divided by ``by`` and rounded down, exact for all longs."""
+    return ((c - F.pmod(c, F.lit(by))).cast("decimal(20,0)") / by).cast("long")
+
+
 def date_hour(ts_ns: Column) -> Column:
     """UTC date and hour; times before 1970 count as 1970."""
-    seconds = F.greatest(F.floor(ts_ns / 10**9), F.lit(0))
+    seconds = F.greatest(whole(ts_ns, 10**9), F.lit(0))
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int"))
     return F.struct(day.cast("string").alias("date"), (F.floor(seconds / 3600) % 24).cast("int").alias("hour"))
 
 
 def rfc3339(ts_ns: Column) -> Column:
     """UTC time to the microsecond, independent of the session's zone."""
-    us = F.floor(ts_ns / 1000)
+    us = whole(ts_ns, 1000)
     at = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (us.cast("decimal(24,6)") / 1000000).cast("decimal(18,6)"))
     return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
