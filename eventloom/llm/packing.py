@@ -129,7 +129,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_
         end = np.array([END_ID], "<u4").tobytes()
         base, number = TaskContext.get().partitionId() << 32, 0
         packer = Packer(tokens, segments, tokens, cut=True)
-        kept: dict[int, tuple[object, bytes]] = {}
+        kept: dict[int, tuple[object, int, int, bytes]] = {}  # id, ids in all, ids before the ones held, those
         serial, rows = 0, []
 
         def emit(sequence):
@@ -137,8 +137,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_
             total = padded(sum(n for _, _, n in sequence), tokens)
             at = 0
             for k, (example, start, n) in enumerate(sequence):
-                name, ids = kept[example]
-                rows.append((name, start, n, len(ids) // 4, base + number, at, k, total, ids[4 * start : 4 * (start + n)]))
+                name, size, before, ids = kept[example]
+                rows.append((name, start, n, size, base + number, at, k, total, ids[4 * (start - before) : 4 * (start - before + n)]))
                 at += n
             number += 1
 
@@ -160,10 +160,11 @@ def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_
                 for i in range(b - a):
                     ids = encode(data[bounds[i] : bounds[i + 1]]) + end
                     n = len(ids) // 4
-                    kept[serial] = names[a + i], ids
                     whole = n - n % tokens
+                    kept[serial] = names[a + i], n, 0, ids
                     for start in range(0, whole, tokens):
                         emit([(serial, start, tokens)])
+                    kept[serial] = names[a + i], n, whole, ids[4 * whole :]
                     if n > whole:
                         fresh.append((serial, whole, n - whole, n - whole - 1))
                     serial += 1
