@@ -138,3 +138,17 @@ def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
     if n <= MAX_BROADCAST_IDS:
         ids = F.broadcast(ids)
     return docs.join(ids, docs[id_col].cast(ids.schema[name].dataType).eqNullSafe(ids[name]), "left_anti")
+
+
+def flagged(docs: DataFrame, key: str, ids: DataFrame, flag: str) -> DataFrame:
+    """``docs`` and a column ``flag``: whether ``key`` is in the first column of ``ids``.
+
+    A list of at most ``MAX_BROADCAST_IDS`` ids is broadcast, a longer one is joined with a
+    shuffle; the rows are the same.
+    """
+    from pyspark.sql import functions as F
+
+    name = free_name(docs.columns, "flagged_id")
+    some = cut_lineage(ids.select(F.col(ids.columns[0]).alias(name)).where(F.col(name).isNotNull()).distinct())
+    some = F.broadcast(some) if some.count() <= MAX_BROADCAST_IDS else some.hint("merge")
+    return docs.join(some, docs[key] == some[name], "left").select(*docs.columns, F.col(name).isNotNull().alias(flag))

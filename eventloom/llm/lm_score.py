@@ -26,12 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventloom.llm import vectext as vt
-from eventloom.llm.common import bounded_sample, cut_lineage, map_arrow, map_texts
+from eventloom.llm.common import cut_lineage, flagged, map_arrow, map_texts
 
 MAX_WORDS = 1 << 15
 MAX_PAIRS = 1 << 21
-#: At most so many target documents (a documented sample of the labelled ids).
-MAX_TARGET = 200_000
 #: Words outside the vocabulary, by length; and the start of a text.
 CLASSES = 8
 
@@ -130,9 +128,8 @@ class Bigrams:
 
 def fit(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS, max_pairs: int = MAX_PAIRS) -> Bigrams:
     """Both models over ``docs``; the target is the documents whose ids ``targets`` (id_col) lists."""
-    ids = bounded_sample(targets.select(F.col(id_col).alias("target_id")).where("target_id is not null").distinct(), "target_id", MAX_TARGET)
     plain = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    marked = plain.join(F.broadcast(ids), plain.id == ids.target_id, "left").select("text", F.col("target_id").isNotNull().alias("target"))
+    marked = flagged(plain, "id", targets.select(id_col), "target").select("text", "target")
 
     def whole_words(buf, off):
         h, _, first = _words(buf, off)

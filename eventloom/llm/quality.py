@@ -7,8 +7,8 @@ its score reaches a fixed threshold.
 
 Both multinomials are counted by map-side sums over the whole corpus: a task sends at
 most ``2**bits`` rows whatever it has read, and the model that goes back to the tasks
-is one array of ``2**bits`` numbers.  Only the trusted side may be a bounded sample of
-the labelled ids (``max_trusted``), and that many ids are what is broadcast.
+is one array of ``2**bits`` numbers.  All trusted documents count; a long list of their
+ids is joined with a shuffle.
 
 Tokens: runs of letters and digits (lower-cased; words written in capitals become one
 token of their own) and runs of other marks.  N-grams: single tokens and pairs.
@@ -25,14 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventloom.llm import vectext as vt
-from eventloom.llm.common import bounded_sample, map_arrow, map_texts
+from eventloom.llm.common import flagged, map_arrow, map_texts
 
 #: Buckets of n-grams are 2**BITS.
 BITS = 16
 #: Scores under this are not kept.
 THRESHOLD = -0.35
-#: At most so many trusted documents are counted as the target.
-MAX_TRUSTED = 200_000
 MIN_WORDS = 10
 MAX_REPEAT_SHARE = 20
 
@@ -135,13 +133,10 @@ def log_ratios(counts: DataFrame, bits: int = BITS) -> np.ndarray:
     return np.log(p / q).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bits: int = BITS, max_trusted: int = MAX_TRUSTED) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bits: int = BITS) -> np.ndarray:
     """The log ratios of ``docs``, of which those that ``labels`` marks 1 are trusted."""
-    ids = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("trusted_id")).where("trusted_id is not null").distinct()
-    ids = bounded_sample(ids, "trusted_id", max_trusted)
-    plain = docs.select(docs[id_col].alias("id_"), docs[text_col].alias("text_"))
-    marked = plain.join(F.broadcast(ids), plain.id_ == ids.trusted_id, "left")
-    return log_ratios(count_ngrams(marked.select("text_", F.col("trusted_id").isNotNull().alias("trusted_")), "text_", "trusted_", bits), bits)
+    marked = flagged(docs.select(docs[id_col].alias("id_"), docs[text_col].alias("text_")), "id_", labels.where(F.col(label_col) == 1).select(id_col), "trusted_")
+    return log_ratios(count_ngrams(marked, "text_", "trusted_", bits), bits)
 
 
 FIELDS = [
