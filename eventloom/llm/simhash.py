@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventloom.llm import near_copies
-from eventloom.llm.common import cut_lineage, map_arrow, map_texts, without_ids
+from eventloom.llm.common import cut_lineage, map_arrow, map_texts
 from eventloom.llm.graph import components
 
 SHINGLE = 4
@@ -187,10 +187,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = near_copies.SHINGLE, similarity: float = near_copies.SIMILARITY) -> DataFrame:
-    """``docs`` without the documents that are near copies of one with a lesser id; all columns stay.
+    """``docs`` with one row of each group of near copies, that of the least id; all columns stay.
 
     Not by the query's fingerprints: four bits of 4-word shingles miss most texts of a
     similarity of 0.8, and no number of blocks is both wide enough and cheap.  The rule is
     exact instead, see ``near_copies``.
     """
-    return without_ids(docs, id_col, near_copies.near_copies(docs, id_col, text_col, size, similarity).select("id"))
+    return near_copies.one_of_each(docs, id_col, text_col, size, similarity)
