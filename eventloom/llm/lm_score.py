@@ -1,21 +1,25 @@
 """Language-model scoring: cross-entropy difference of two matched bigram models.
 
 A target model (trusted documents) and a background model (all documents) have the same
-order, the same Witten-Bell smoothing and one shared vocabulary.  A document's score is
-the mean over its tokens of target loss minus background loss: the lower, the more the
-document is like the target.
-
-Both models are counted over every token of the corpus.  Tasks sum counts before the
-shuffle, so what is gathered is one row for each task and distinct word or word pair and
-grows with the corpus.  The vocabulary holds every word from the least frequency at
-which at most ``MAX_WORDS`` words remain; other words share a few classes by length.
-Word pairs are kept in the same manner, from the least frequency at which at most
-``MAX_PAIRS`` remain; a pair that is not kept backs off to its second word, as usual in
-n-gram models.  Those two bounds are the size of the model, which is what is broadcast.
+order, the same smoothing and one shared vocabulary: every word of the corpus.  A
+document's score is the mean over its tokens of target loss minus background loss: the
+lower, the more the document is like the target.  With n for a model's counts, c for its
+counts of a word as context, N for its tokens and p0 for the share of a word in the corpus:
+
+    p1(w)     = (n(w) + WORD_PRIOR * p0(w)) / (N + WORD_PRIOR)
+    p(w | v)  = (n(v, w) + PAIR_PRIOR * p1(w)) / (c(v) + PAIR_PRIOR)
+
+Both sum to one over the vocabulary.  No word and no pair is left out of a model, however
+large the corpus: counts never meet in one place.  The documents are dealt into shards by
+a hash.  A shard counts its own distinct words and pairs and sends them, sorted, to the
+buckets of a split key space; a bucket adds up what all shards have sent it and answers
+each with the sums in the order they came; with the answers, and nothing else, the shard's
+documents are scored.  Thus a word that every document has costs one number a shard, and
+a task holds one shard or one bucket, whose sizes are parameters.
 
 Defined results: a null or empty text, or one without words, has no tokens and null
-losses; repeated rows give repeated results; without target documents both models are
-the background's and all scores are zero.
+losses; repeated rows count as often as they occur and give repeated results; without
+target documents both models are the background's and all scores are zero.
 """
 
 from __future__ import annotations
@@ -26,164 +30,177 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventloom.llm import vectext as vt
-from eventloom.llm.common import cut_lineage, flagged, map_arrow, map_texts
+from eventloom.llm.common import flagged, map_texts
+from eventloom.plans.shipping import ship
 
-MAX_WORDS = 1 << 15
-MAX_PAIRS = 1 << 21
-#: Words outside the vocabulary, by length; and the start of a text.
-CLASSES = 8
+WORD_PRIOR, PAIR_PRIOR = 10_000.0, 4.0
+#: Bytes of text in a shard: the root of all bytes times SHARD_ROOT, within these bounds.
+#: Messages between shards and buckets grow with the square of the number of shards.
+SHARD_ROOT, LEAST_SHARD, MOST_SHARD = 600, 16 << 20, 192 << 20
 
+#: The context of a text's first word.
+_START = np.uint64(0x5851F42D4C957F2D)
 
-def _words(buf: np.ndarray, off: np.ndarray):
+
+def _words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' words (letters and digits, lower-cased), and offsets by text."""
     starts, ends, kind = vt.runs(vt.CLASSES[buf], off)
     word = kind == vt.WORD
     starts, ends = starts[word], ends[word]
-    return vt.hashes(buf, starts, ends, lower=True), np.minimum((ends - starts) // 3, CLASSES - 1), vt.per_text(starts, off)
+    return vt.hashes(buf, starts, ends, lower=True), vt.per_text(starts, off)
+
 
+def _contexts(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The word before each word; the first of a text follows ``_START``."""
+    before = np.empty_like(words)
+    before[1:] = words[:-1]
+    before[first[:-1][np.diff(first) > 0]] = _START
+    return before
 
-def word_ids(buf: np.ndarray, off: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the texts' words, and offsets by text: V words, then CLASSES classes."""
-    h, length, first = _words(buf, off)
-    if not len(vocabulary):
-        return length, first
-    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == h, at, len(vocabulary) + length), first
 
+def _pairs(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return vt.mix(before * vt._BASE + vt.mix(words))
 
-def pair_keys(ids: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
-    """previous * size + id for each word; the first word of a text follows id size - 1."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[first[:-1][np.diff(first) > 0]] = size - 1
-    return before * size + ids
 
+class Shard:
+    """The words of a shard's documents, a slice of texts after the other."""
 
-def _counted(marked: DataFrame, keys_of) -> DataFrame:
-    """(k, background, target): sums by key over ``marked`` (text, target)."""
+    def __init__(self, column) -> None:
+        from eventloom.llm.common import row_slices
 
-    def run(batches):
+        words, counts = [], []
+        for chunk in column.chunks:
+            for a, b in row_slices(chunk, vt.SLICE):
+                h, first = _words(*vt.buffers(chunk.slice(a, b - a)))
+                words.append(h)
+                counts.append(np.diff(first))
+        self.words = np.concatenate([*words, np.zeros(0, np.uint64)])
+        self.first = np.concatenate([[0], np.cumsum(np.concatenate([*counts, np.zeros(0, np.int64)]))]).astype(np.int64)
+        self.before = _contexts(self.words, self.first)
+        self.pairs = _pairs(self.before, self.words)
+        #: the distinct words and contexts, and the distinct pairs, in order.
+        self.vocabulary = np.unique(np.append(self.words, _START))
+        self.kinds = np.unique(self.pairs)
+
+    def counts(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word counts (word and context, by model) and pair counts (by model), as rows."""
+        of = np.repeat(target, np.diff(self.first))
+        every = [_placed(x[m], keys) for keys, xs in ((self.vocabulary, (self.words, self.before)), (self.kinds, (self.pairs,))) for x in xs for m in (slice(None), of)]
+        return np.stack(every[:4]), np.stack(every[4:])
+
+
+def _placed(found: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """How often each of ``keys`` (sorted) is in ``found``."""
+    some, n = np.unique(found, return_counts=True)
+    out = np.zeros(len(keys), np.int64)
+    out[np.searchsorted(keys, some)] = n
+    return out
+
+
+def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each of ``buckets`` equal ranges of the key space starts in ``keys`` (sorted)."""
+    of = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    return np.searchsorted(of, np.arange(buckets + 1, dtype=np.uint64))
+
+
+def _counted(texts: DataFrame, buckets: int) -> DataFrame:
+    """What the shards send: sorted keys and their counts, a row for each shard and bucket."""
+
+    def count(table):
         import pyarrow as pa
 
-        from eventloom.llm.common import row_slices
+        shard = Shard(table.column("text"))
+        words, pairs = shard.counts(np.array(table.column("target").to_numpy(), bool))
+        rows = []
+        at, to = _cuts(shard.vocabulary, buckets).tolist(), _cuts(shard.kinds, buckets).tolist()
+        for k in range(buckets):
+            w, p = slice(at[k], at[k + 1]), slice(to[k], to[k + 1])
+            if w.stop > w.start or p.stop > p.start:
+                rows.append((k, shard.vocabulary[w].tobytes(), words[:, w].astype("<u4").tobytes(), shard.kinds[p].tobytes(), pairs[:, p].astype("<u4").tobytes()))
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        number = table.column("shard")[0].as_py()
+        return pa.table([pa.array([number] * len(rows), pa.int64()), pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["shard", "bucket", "words", "n_words", "pairs", "n_pairs"])
 
-        held = vt.Counter(2)
-
-        def rows():
-            keys, (n, m) = held.take()
-            for i in range(0, len(keys), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in (keys.view(np.int64), n, m)], names=["k", "background", "target"])
-
-        for batch in batches:
-            flags = np.array(batch.column(1).fill_null(False), bool)
-            for a, b in row_slices(batch.column(0), 4 * vt.SLICE):
-                keys, first = keys_of(*vt.buffers(batch.column(0).slice(a, b - a)))
-                held.add(keys.astype(np.uint64), [np.ones(len(keys)), np.repeat(flags[a:b], np.diff(first))])
-            if len(held) > 1_500_000:
-                yield from rows()
-        yield from rows()
-
-    sums = map_arrow(marked, run, "k long, background long, target long").groupBy("k")
-    return sums.agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def _most_frequent(counts: DataFrame, most: int):
-    """The keys from the least frequency at which at most ``most`` remain, as sorted arrays."""
-    by_count = counts.groupBy(F.least("background", F.lit(100_000)).alias("c")).count().collect()  # 100,000 rows at most
-    left, cut = 0, 100_001
-    for c, n in sorted(((r["c"], r["count"]) for r in by_count), reverse=True):
-        if left + n > most:
-            break
-        left, cut = left + n, c
-    found = counts.where(F.col("background") >= cut).toArrow()
-    keys = found["k"].to_numpy()
-    order = np.argsort(keys.view(np.uint64) if keys.dtype == np.int64 else keys)
-    return keys[order].view(np.uint64), found["background"].to_numpy()[order], found["target"].to_numpy()[order]
-
-
-class Bigrams:
-    """Losses of the two models, as arrays over kept pairs and over words."""
-
-    def __init__(self, vocabulary, size, pairs, seen, backoff, single) -> None:
-        self.vocabulary, self.size = vocabulary, size
-        #: kept pairs (sorted), and by model: the loss of each, of leaving a word, of a word alone.
-        self.pairs, self.seen, self.backoff, self.single = pairs, seen, backoff, single
-
-    def losses(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Tokens by text, and the models' summed losses by text."""
-        ids, first = word_ids(buf, off, self.vocabulary)
-        keys = pair_keys(ids, first, self.size)
-        before = keys // self.size
-        out = []
-        if len(self.pairs):
-            at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-            known = self.pairs[at] == keys
-        else:
-            at, known = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        for seen, backoff, single in zip(self.seen, self.backoff, self.single, strict=True):
-            loss = (backoff[before] + single[ids]).astype(np.float64)
-            loss[known] = seen[at[known]]
-            out.append(vt.range_sums(loss, first[:-1], first[1:]))
-        return np.diff(first), out
-
-
-def fit(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS, max_pairs: int = MAX_PAIRS) -> Bigrams:
-    """Both models over ``docs``; the target is the documents whose ids ``targets`` (id_col) lists."""
-    plain = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    marked = flagged(plain, "id", targets.select(id_col), "target").select("text", "target")
-
-    def whole_words(buf, off):
-        h, _, first = _words(buf, off)
-        return h, first
-
-    vocabulary = _most_frequent(cut_lineage(_counted(marked, whole_words).where("background > 1")), max_words)[0]
-    size = len(vocabulary) + CLASSES + 1
-
-    def pairs_of(buf, off):
-        known, first = word_ids(buf, off, vocabulary)
-        return pair_keys(known, first, size), first
-
-    counts = cut_lineage(_counted(marked, pairs_of))
-    # One row for each previous or next word: 2 * size rows at most.
-    sides = counts.select(F.expr(f"k div {size}").alias("before"), F.expr(f"k % {size}").alias("word"), "background", "target")
-    context, unigram = np.zeros((2, 2, size)), np.zeros((2, size))
-    for r in sides.groupBy("before").agg(*(f(c) for c in ("background", "target") for f in (F.sum, lambda c: F.count_if(F.col(c) > 0)))).toLocalIterator():
-        context[:, :, r[0]] = np.array(r[1:5]).reshape(2, 2)
-    for r in sides.groupBy("word").agg(F.sum("background"), F.sum("target")).toLocalIterator():
-        unigram[:, r[0]] = r[1:3]
-    if not unigram[1].sum():
-        unigram[1], context[1] = unigram[0], context[0]
-        counts = counts.withColumn("target", F.col("background"))
-    pairs, *both = _most_frequent(counts, max_pairs)
-    before, word = (pairs // np.uint64(size)).astype(np.int64), (pairs % np.uint64(size)).astype(np.int64)
-    seen, backoff, single = [], [], []
-    for n, (total, kinds), one in zip(both, context, unigram, strict=True):
-        p_one = (one + 0.5) / (one.sum() + 0.5 * size)
-        leave = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)  # Witten-Bell
-        p = (1 - leave[before]) * n / np.maximum(total[before], 1) + leave[before] * p_one[word]
-        seen.append(-np.log(p).astype(np.float32))
-        backoff.append(-np.log(leave).astype(np.float32))
-        single.append(-np.log(p_one).astype(np.float32))
-    return Bigrams(vocabulary, size, pairs.astype(np.int64), seen, backoff, single)
+    return texts.groupBy("shard").applyInArrow(count, "shard long, bucket long, words binary, n_words binary, pairs binary, n_pairs binary")
+
+
+def _summed(sent: DataFrame) -> DataFrame:
+    """The buckets' answers: for each row they got, the sums over all rows, key by key."""
+
+    def add(table):
+        import pyarrow as pa
+
+        answers = []
+        for keys, counts, n in (("words", "n_words", 4), ("pairs", "n_pairs", 2)):
+            own = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column(keys)]
+            values = [np.frombuffer(x.as_buffer(), "<u4").reshape(n, -1) for x in table.column(counts)]
+            some, at = np.unique(np.concatenate(own), return_inverse=True)
+            sums = np.stack([np.bincount(at, np.concatenate([v[i] for v in values]), len(some)).astype(np.int64) for i in range(n)])
+            ends = np.cumsum([len(x) for x in own])
+            answers.append([sums[:, at[e - len(x) : e]].tobytes() for e, x in zip(ends, own, strict=True)])
+        return pa.table([table.column("shard"), table.column("bucket"), *(pa.array(a, pa.binary()) for a in answers)], names=["shard", "bucket", "words", "pairs"])
+
+    return sent.groupBy("bucket").applyInArrow(add, "shard long, bucket long, words binary, pairs binary")
+
+
+def losses(words: np.ndarray, contexts: np.ndarray, pairs: np.ndarray, tokens: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Loss of each token from one model's counts of its word, context and pair.
+
+    ``tokens``: all tokens of the model; ``share``: the word's share in the corpus.
+    """
+    single = (words + WORD_PRIOR * share) / (tokens + WORD_PRIOR)
+    return -np.log((pairs + PAIR_PRIOR * single) / (contexts + PAIR_PRIOR))
 
 
 FIELDS = [T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("ce_background", "ce_target", "score"))]
 
 
-def score(docs: DataFrame, model: Bigrams, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_tokens, ce_background, ce_target, score) in nats a token, for every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int | None = None) -> DataFrame:
+    """(id_col, n_tokens, ce_background, ce_target, score) in nats a token, for every row of ``docs``.
 
-    def start():
-        import pyarrow as pa
+    The background is all of ``docs``, the target those whose ids are in ``targets`` (id_col).
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    plain = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    marked = flagged(plain, "id", targets.select(id_col), "target")
 
-        bigrams = shared.value
+    def start():
+        return lambda buf, off: [np.diff(_words(buf, off)[1])]
 
-        def make(buf, off):
-            n, (background, target) = bigrams.losses(buf, off)
-            none = n == 0
-            some = np.maximum(n, 1)
-            return [n, *(pa.array(x / some, mask=none) for x in (background, target, target - background))]
+    sizes = map_texts(marked.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0))), "text", ["target", "bytes"], [T.StructField("n", T.LongType())], start)
+    n, m, size = sizes.agg(F.sum("n"), F.sum(F.when(F.col("target"), F.col("n"))), F.sum("bytes")).first()
+    n, m, size = n or 0, m or 0, size or 0
+    shard_bytes = shard_bytes or int(min(max(SHARD_ROOT * size**0.5, LEAST_SHARD), MOST_SHARD))
+    shards = max(1, -(-size // shard_bytes))
+    texts = marked.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards))).repartition(shards, "shard")
+    answers = _summed(_counted(texts, shards).repartition(shards, "bucket")).repartition(shards, "shard")
 
-        return make
+    def judge(table, told):
+        import pyarrow as pa
 
-    return map_texts(docs, text_col, [id_col], FIELDS, start)
+        shard = Shard(told.column("text"))
+        table = table.sort_by("bucket")
+        words, pairs = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(k, -1) for x in table.column(c)] or [np.zeros((k, 0), np.int64)], axis=1) for c, k in (("words", 4), ("pairs", 2)))
+        own = np.diff(shard.first)
+        if len(told) and (words.shape[1], pairs.shape[1]) != (len(shard.vocabulary), len(shard.kinds)):
+            raise ValueError("a shard's documents have changed between counting and scoring")
+        total = np.zeros((2, len(own)))
+        step = 1 << 18
+        for a in range(0, len(shard.words), step):
+            part = slice(a, a + step)
+            w, v = (np.searchsorted(shard.vocabulary, x[part]) for x in (shard.words, shard.before))
+            p = np.searchsorted(shard.kinds, shard.pairs[part])
+            owner = np.searchsorted(shard.first, np.arange(a, a + len(w)), "right") - 1
+            share = words[0][w] / n
+            for k, tokens in enumerate((n, m) if m else (n,)):
+                loss = losses(words[k][w], words[2 + k][v], pairs[k][p], tokens, share)
+                total[k] += np.bincount(owner, loss, len(own))
+        if not m:
+            total[1] = total[0]
+        background, target = total / np.maximum(own, 1)
+        none = own == 0
+        return pa.table([told.column("id"), pa.array(own), *(pa.array(x, mask=none) for x in (background, target, target - background))], names=["id", *(f.name for f in FIELDS)])
+
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *FIELDS])
+    return answers.groupBy("shard").cogroup(texts.groupBy("shard")).applyInArrow(judge, schema).withColumnRenamed("id", id_col)

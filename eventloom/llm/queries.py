@@ -37,7 +37,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return lm_score.score(docs, lm_score.fit(docs, table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")))
+    return lm_score.score(docs, table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))
 
 
 @query

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from eventloom.llm import decontam, html_render, langid, line_dedup, lm_score, queries, simhash, toxicity
+from eventloom.llm import decontam, html_render, langid, line_dedup, queries, simhash, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -61,26 +61,6 @@ def test_language_id_agrees_with_declared(docs):
     assert r[0] > 0.9 and r[1] > 0.9
 
 
-def test_language_model_prefers_the_target(spark):
-    rows = [(i, "the cat sat on the mat and purred softly " * 3) for i in range(20)] + [(100 + i, "buy cheap pills now click here today " * 3) for i in range(20)]
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    scored = {r.doc_id: r for r in lm_score.score(d, lm_score.fit(d, d.where("doc_id < 10"))).collect()}
-    assert max(scored[i].score for i in range(20)) < min(scored[100 + i].score for i in range(20))
-    for r in scored.values():
-        assert abs(r.ce_target - r.ce_background - r.score) < 1e-9
-
-
-def test_bigram_distributions_sum_to_one(spark):
-    d = spark.createDataFrame([(1, "a b a c"), (2, "b a b"), (3, "c c a")], "doc_id long, text string")
-    m = lm_score.fit(d, d.where("doc_id = 1"))
-    for seen, backoff, single in zip(m.seen, m.backoff, m.single, strict=True):
-        for before in range(m.size):
-            p = np.exp(-(backoff[before] + single))
-            mine = m.pairs // m.size == before
-            p[m.pairs[mine] % m.size] = np.exp(-seen[mine])
-            assert 0.7 < p.sum() < 1.3
-
-
 def test_toxicity_on_held_out_rows(spark):
     d = "/root/testdata/sf0.1"
     scored = queries.op8_toxicity(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").select("score", "toxic").collect()
