@@ -7,11 +7,15 @@ elements are left out, blocks start new lines, paragraphs and headings stand apa
 blank line, list items get a bullet or their number and are indented by depth, and the
 cells of a table are padded to columns.  Runs of blanks collapse except in ``pre``.
 
-Every visible text of the page is emitted, once, in document order.
+Every visible text of the page is emitted, once, in document order.  Reading takes time in
+proportion to the page, whatever its nesting: neither the tree nor the walk is recursive.
 
 Defined results: a null page gives null, an empty one an empty text; broken markup is
-read as far as it goes and never fails; elements nested deeper than ``DEPTH`` are laid
-out at that depth.
+read as far as it goes and never fails; a tag that the page's end cuts off is dropped with
+what it swallowed, as browsers do.  Only layout has bounds, never text or visibility:
+lines are indented by at most ``MAX_INDENT`` columns, tables nested in more than
+``TABLE_DEPTH`` tables are laid out as blocks, and in a table that padding would make
+many times larger, cells over ``WIDEST_CELL`` run over their column.
 """
 
 from __future__ import annotations
@@ -25,14 +29,18 @@ from pyspark.sql import types as T
 
 from eventloom.llm.common import free_name, map_arrow
 
-DEPTH = 120
-#: Cells wider than this don't widen their column; they run over it.
+MAX_INDENT = 80
+TABLE_DEPTH = 12
 WIDEST_CELL = 80
+#: Padding that a table may have for each character of it, and anyway.
+PADDING, SOME_PADDING = 8, 20_000
 
-_TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>")
+_COMMENT_END = re.compile(r"--!?>")
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
-_NOT_SHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -61,6 +69,7 @@ _ENDS = {
     "rp": (frozenset(["rt", "rp"]), frozenset(["ruby"])),
     "body": (frozenset(["head"]), frozenset(["html"])),
 }
+_P, _HEADINGS = frozenset(["p"]), frozenset("h1 h2 h3 h4 h5 h6".split())
 _P_EDGE = frozenset("table td th caption button object template".split())
 _CELL_EDGE = frozenset("table td th caption template".split())
 _TABLE_PARTS = frozenset("table thead tbody tfoot tr td th caption".split())
@@ -80,78 +89,96 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
+class Open:
+    """The open elements, with the places of each tag's, so that looking one up takes no search."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes = [root]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def end(self, ended, edge) -> None:
+        """End the innermost open element of ``ended`` and all in it, unless one of ``edge`` is further in."""
+        at = self.last(ended)
+        if at and at >= self.last(edge):
+            for node in self.nodes[at:]:
+                self.places[node.tag].pop()
+            del self.nodes[at:]
+
+
 def build(page: str) -> Node:
     """The tree of ``page``; text nodes are strings."""
     root = Node("#root", {})
-    stack = [root]
-    at, end = 0, len(page)
+    stack = Open(root)
+    at, end, text_from = 0, len(page), 0
 
     def add_text(text: str) -> None:
         if text:
-            stack[-1].children.append(entities.unescape(text) if "&" in text else text)
-
-    while at < end:
-        m = _TAG.search(page, at)
-        if m is None:
-            add_text(page[at:])
-            break
-        add_text(page[at : m.start()])
-        at = m.end()
-        closing, tag, raw = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
+            stack.nodes[-1].children.append(entities.unescape(text) if "&" in text else text)
+
+    while (lt := page.find("<", at)) >= 0:
+        mark = page[lt + 1 : lt + 2]
+        if mark == "/":
+            letter = page[lt + 2 : lt + 3]
+            kind = "tag" if letter.isascii() and letter.isalpha() else "bogus" if letter else "text"
+        else:
+            kind = "tag" if mark.isascii() and mark.isalpha() else "bogus" if mark in ("!", "?") and mark else "text"
+        if kind == "text":
+            at = lt + 1
+            continue
+        add_text(page[text_from:lt])
+        if kind == "bogus":
+            if page.startswith("<!--", lt):
+                short = next((x for x in ("<!-->", "<!--->") if page.startswith(x, lt)), "")
+                close = None if short else _COMMENT_END.search(page, lt + 4)
+                at = lt + len(short) if short else close.end() if close else end
+            else:
+                gt = page.find(">", lt)
+                at = gt + 1 if gt >= 0 else end
+            text_from = at
             continue
-        tag = tag.lower()
-        if closing:
+        m = _TAG.match(page, lt)
+        if m is None:  # the page ends in a tag
+            return root
+        at = text_from = m.end()
+        tag, raw = m[2].lower(), m[3]
+        if m[1]:
             _close(stack, tag)
             continue
-        _imply(stack, tag)
+        if tag in _ENDS_P:
+            stack.end(_P, _P_EDGE)
+        if tag in _ENDS:
+            stack.end(*_ENDS[tag])
         node = Node(tag, _attributes(raw) if raw and not raw.isspace() else {})
-        stack[-1].children.append(node)
+        stack.nodes[-1].children.append(node)
         if tag in RAW:
             close = re.compile(f"</{re.escape(tag)}(?=[\\s/>]|$)[^>]*>?", re.I).search(page, at)
             text = page[at : close.start() if close else end]
             if text:
                 node.children.append(entities.unescape(text) if tag == "textarea" else text)
-            at = close.end() if close else end
-        elif tag not in VOID and len(stack) < DEPTH:
-            stack.append(node)
+            at = text_from = close.end() if close else end
+        elif tag not in VOID:
+            stack.push(node)
+    add_text(page[text_from:])
     return root
 
 
-def _imply(stack: list[Node], tag: str) -> None:
-    """End the open elements that a start tag ends."""
-    if tag in _ENDS_P:
-        _pop(stack, frozenset(["p"]), _P_EDGE)
-    if tag in _ENDS:
-        _pop(stack, *_ENDS[tag])
-
-
-def _pop(stack: list[Node], ended: frozenset, edge: frozenset) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        name = stack[k].tag
-        if name in ended:
-            del stack[k:]
-            return
-        if name in edge:
-            return
-
-
-def _close(stack: list[Node], tag: str) -> None:
+def _close(stack: Open, tag: str) -> None:
     if tag == "br":
-        stack[-1].children.append(Node("br", {}))
+        stack.nodes[-1].children.append(Node("br", {}))
         return
-    heading = re.fullmatch(r"h[1-6]", tag)
     edge = _TABLE_EDGE if tag in _TABLE_PARTS and tag != "table" else frozenset() if tag in ("table", "body", "html") else _CELL_EDGE
-    for k in range(len(stack) - 1, 0, -1):
-        name = stack[k].tag
-        if name == tag or heading and re.fullmatch(r"h[1-6]", name):
-            del stack[k:]
-            return
-        if name in edge:
-            return
+    stack.end(_HEADINGS if tag in _HEADINGS else (tag,), edge)
 
 
 def hidden(node: Node) -> bool:
+    """Whether the element and all in it take no part in the layout."""
     a = node.attributes
     if node.tag in HIDDEN:
         return True
@@ -160,6 +187,12 @@ def hidden(node: Node) -> bool:
     return "hidden" in a or node.tag == "dialog" and "open" not in a or "style" in a and bool(_NOT_SHOWN.search(a["style"]))
 
 
+def _seen(node: Node, seen: bool) -> bool:
+    """Whether the element's own text shows, given whether its parent's does."""
+    found = _VISIBILITY.search(node.attributes["style"]) if "style" in node.attributes else None
+    return seen if found is None or found[1].lower() == "inherit" else found[1].lower() not in ("hidden", "collapse")
+
+
 class Page:
     """Lines under way: collapses blanks, keeps blocks apart, indents."""
 
@@ -168,7 +201,8 @@ class Page:
         self.now: list[str] = []
         self.blank = False  # a blank waits to be written before the next text
         self.apart = 0  # blank lines due before the next line
-        self.indent: list[str] = []
+        self.indent: list[int] = []
+        self.head = ""
         self.mark: str | None = None  # an item's bullet, for its first line
 
     def text(self, s: str) -> None:
@@ -193,9 +227,9 @@ class Page:
             if self.apart and self.lines:
                 self.lines += [""] * self.apart
             self.apart = 0
-            head = "".join(self.indent)
+            head = self.head[:MAX_INDENT]
             if self.mark is not None:
-                head = head[: len(head) - len(self.mark)] + self.mark
+                head = head[: max(len(head) - len(self.mark), 0)] + self.mark
                 self.mark = None
             self.lines.append((head + "".join(self.now)).rstrip())
         self.now, self.blank = [], False
@@ -204,124 +238,165 @@ class Page:
         self.line()
         self.apart = max(self.apart, space)
 
+    def deeper(self, columns: int) -> None:
+        self.indent.append(columns)
+        if len(self.head) <= MAX_INDENT:
+            self.head += " " * columns
+            self.indent[-1] = -columns
+
+    def back(self) -> None:
+        columns = self.indent.pop()
+        if columns < 0:
+            self.head = self.head[:columns]
+
+
+def _run(walk) -> None:
+    """Run a walk that yields the walks of inner elements, without recursion."""
+    stack = [walk]
+    while stack:
+        inner = next(stack[-1], None)
+        if inner is None:
+            stack.pop()
+        else:
+            stack.append(inner)
+
+
+def _number(s: str, otherwise: int) -> int:
+    return int(s) if re.fullmatch(r"\s*-?\d{1,9}\s*", s, re.A) else otherwise
 
-def _walk(node: Node, page: Page, pre: bool, depth: int) -> None:
-    number = 1
-    ordered = node.tag == "ol"
-    if ordered and re.fullmatch(r"\s*-?\d{1,9}\s*", node.attributes.get("start", "")):
-        number = int(node.attributes["start"])
+
+def _walk(node: Node, page: Page, pre: bool, seen: bool, tables: int):
+    number = _number(node.attributes.get("start", ""), 1) if node.tag == "ol" else 1
     summary_only = node.tag == "details" and "open" not in node.attributes
     for child in node.children:
         if isinstance(child, str):
-            if not summary_only:
+            if seen and not summary_only:
                 (page.plain if pre else page.text)(child)
             continue
         tag = child.tag
         if hidden(child) or summary_only and tag != "summary":
             continue
+        shown = _seen(child, seen)
         if tag == "br":
             page.line(always=True)
-        elif tag == "table":
+        elif tag == "table" and tables < TABLE_DEPTH:
             page.block(1)
-            _table(child, page, depth)
+            yield _table(child, page, shown, tables)
             page.block(1)
         elif tag == "li":
-            mark = f"{number}. " if ordered else "- "
-            if ordered and re.fullmatch(r"\s*-?\d{1,9}\s*", child.attributes.get("value", "")):
-                number = int(child.attributes["value"])
-                mark = f"{number}. "
+            if node.tag == "ol":
+                number = _number(child.attributes.get("value", ""), number)
+            mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
             page.block(0)
-            page.indent.append(" " * len(mark))
+            page.deeper(len(mark))
             page.mark = mark
-            _walk(child, page, pre, depth + 1)
+            yield _walk(child, page, pre, shown, tables)
             page.line()
             page.mark = None
-            page.indent.pop()
+            page.back()
         elif tag in BLOCK:
             nested = tag in ("ul", "ol", "menu", "dl") and bool(page.indent)
             space = 1 if tag in APART and not nested and page.mark is None else 0
             page.block(space)
-            inset = {"blockquote": "  ", "dd": "  "}.get(tag, "  " if nested else "")
+            inset = 2 if tag in ("blockquote", "dd") or nested else 0
             if inset:
-                page.indent.append(inset)
-            _walk(child, page, pre or tag == "pre", depth + 1)
+                page.deeper(inset)
+            yield _walk(child, page, pre or tag == "pre", shown, tables)
             page.line()
             if inset:
-                page.indent.pop()
+                page.back()
             page.block(space)
-        elif tag in ("td", "th"):  # a cell outside a table
+        elif tag in ("td", "th"):  # a cell outside a table that is laid out
             page.blank = True
-            _walk(child, page, pre, depth + 1)
+            yield _walk(child, page, pre, shown, tables)
             page.blank = True
         else:
-            _walk(child, page, pre or tag in ("textarea", "xmp"), depth + 1)
+            yield _walk(child, page, pre or tag in ("textarea", "xmp"), shown, tables)
 
 
 def _width(s: str) -> int:
     return len(s) if s.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
 
 
-def _lines_of(node: Node, depth: int) -> list[str]:
-    page = Page()
-    _walk(node, page, False, depth + 1)
-    page.line()
-    return page.lines
+def _span(cell: Node, name: str) -> int:
+    return min(max(_number(cell.attributes.get(name, ""), 1), 1), 100)
 
 
-def _table(table: Node, page: Page, depth: int) -> None:
-    rows: list[list[tuple[list[str], int]]] = []
+def _table(table: Node, page: Page, seen: bool, tables: int):
+    rows: list[list[tuple[list[str], int, int]]] = []  # lines, column, columns
     loose = Node("div", {})
-
-    def visit(node: Node) -> None:
-        for child in node.children:
-            if isinstance(child, str):
-                if not child.isspace():
+    covered: dict[int, int] = {}  # columns that a cell of a row above reaches into, and for how many rows
+    todo = [(table, seen)]
+    while todo:
+        node, shown = todo.pop()
+        if node is table or node.tag in ("thead", "tbody", "tfoot"):
+            inner = []
+            for child in node.children:
+                if isinstance(child, str):
+                    if not child.isspace():
+                        loose.children.append(child)
+                elif hidden(child):
+                    continue
+                elif child.tag in ("thead", "tbody", "tfoot", "tr", "td", "th"):
+                    inner.append((child, _seen(child, shown)))
+                elif child.tag not in ("col", "colgroup"):
                     loose.children.append(child)
-            elif hidden(child):
+            todo += reversed(inner)
+            continue
+        cells, column = [], 0
+        for cell in node.children if node.tag == "tr" else [node]:  # a cell without a row is one
+            if isinstance(cell, str) or cell.tag not in ("td", "th"):
+                if not (isinstance(cell, str) and cell.isspace()):
+                    loose.children.append(cell)
                 continue
-            elif child.tag == "tr":
-                cells = []
-                for cell in child.children:
-                    if isinstance(cell, str) or cell.tag not in ("td", "th"):
-                        if not (isinstance(cell, str) and cell.isspace()):
-                            loose.children.append(cell)
-                    elif not hidden(cell):
-                        span = cell.attributes.get("colspan", "1").strip()
-                        cells.append((_lines_of(cell, depth), min(int(span), 100) if re.fullmatch(r"\d{1,4}", span) and int(span) else 1))
-                rows.append(cells)
-            elif child.tag in ("thead", "tbody", "tfoot"):
-                visit(child)
-            elif child.tag in ("td", "th"):  # a cell without a row
-                rows.append([(_lines_of(child, depth), 1)])
-            elif child.tag not in ("col", "colgroup"):
-                loose.children.append(child)
-
-    visit(table)
+            if hidden(cell):
+                continue
+            while covered.get(column, 0):
+                column += 1
+            own = Page()
+            yield _walk(cell, own, False, _seen(cell, shown), tables + 1)
+            own.line()
+            span = _span(cell, "colspan")
+            cells.append((own.lines, column, span))
+            for c in range(column, column + span):
+                covered[c] = max(covered.get(c, 0), _span(cell, "rowspan"))
+            column += span
+        covered = {c: k - 1 for c, k in covered.items() if k > 1}
+        rows.append(cells)
     if loose.children:  # captions, and what stands in a table outside of its cells
-        _walk(loose, page, False, depth + 1)
+        yield _walk(loose, page, False, seen, tables + 1)
+        page.line()
+    for line in _columns(rows):
+        page.now = [line]
         page.line()
-    widths: dict[int, int] = {}
+
+
+def _columns(rows: list[list[tuple[list[str], int, int]]]):
+    """The lines of a table's rows, cells padded to columns."""
+    wide: dict[int, list[int]] = {}
+    total = sum(len(x) for cells in rows for lines, _, _ in cells for x in lines)
     for cells in rows:
-        column = 0
-        for lines, span in cells:
+        for lines, column, span in cells:
             if span == 1:
-                wide = max((w for w in map(_width, lines) if w <= WIDEST_CELL), default=0)
-                widths[column] = max(widths.get(column, 0), wide)
-            column += span
+                wide.setdefault(column, []).extend(map(_width, lines))
+    widths = {c: max(w, default=0) for c, w in wide.items()}
+    height = sum(max((len(lines) for lines, _, _ in cells), default=0) for cells in rows)
+    if height * sum(widths.values()) > PADDING * total + SOME_PADDING:
+        widths = {c: max((x for x in w if x <= WIDEST_CELL), default=0) for c, w in wide.items()}
     for cells in rows:
-        for k in range(max((len(lines) for lines, _ in cells), default=0)):
+        for k in range(max((len(lines) for lines, _, _ in cells), default=0)):
             out, goal, at, column = [], 0, 0, 0
-            for lines, span in cells:
+            for lines, start, span in cells:
+                goal += sum(widths.get(c, 0) + 2 for c in range(column, start))
                 if k < len(lines) and lines[k]:
                     gap = max(goal - at, 2 if at else 0)
                     out.append(" " * gap + lines[k])
                     at += gap + _width(lines[k])
-                goal += sum(widths.get(c, 0) + 2 for c in range(column, column + span))
-                column += span
+                goal += sum(widths.get(c, 0) + 2 for c in range(start, start + span))
+                column = start + span
             if out:
-                page.now = ["".join(out)]
-                page.line()
+                yield "".join(out)
 
 
 def render(page: str | None) -> str | None:
@@ -329,14 +404,15 @@ def render(page: str | None) -> str | None:
     if page is None:
         return None
     out = Page()
-    _walk(build(page), out, False, 0)
+    _run(_walk(build(page), out, False, True, 0))
     out.line()
     lines = out.lines
-    while lines and not lines[0]:
-        lines.pop(0)
-    while lines and not lines[-1]:
-        lines.pop()
-    return "\n".join(lines)
+    first, last = 0, len(lines)
+    while first < last and not lines[first]:
+        first += 1
+    while last > first and not lines[last - 1]:
+        last -= 1
+    return "\n".join(lines[first:last])
 
 
 def extracted(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None, name: str = "text") -> DataFrame:
