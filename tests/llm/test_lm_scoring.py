@@ -97,3 +97,13 @@ def test_all_targets_count(spark, monkeypatch, most):
     docs = spark.range(0, 20_000, numPartitions=4).select(F.col("id").alias("doc_id"), F.concat(F.lit("every w"), F.expr("id % 7"), F.lit(" x"), F.expr("id % 11")).alias("text"))
     r = lm_score.score(docs, docs.select("doc_id")).agg(F.min("score"), F.max("score"), F.count("score")).first()
     assert r[2] == 20_000 and max(abs(r[0]), abs(r[1])) < 1e-12
+
+
+def test_packed_numbers_round_trip():
+    rng = np.random.default_rng(3)
+    for top in (0, 1, 255, 256, 2**40, 2**64 - 1):
+        for n in (0, 1, 100):
+            x, y = (rng.integers(0, top, n, dtype=np.uint64, endpoint=True) for _ in range(2))
+            assert np.array_equal(lm_score.unpacked(lm_score.packed(x) + lm_score.packed(y), n, 2), np.stack([x, y]))
+            keys = np.unique(x)
+            assert np.array_equal(lm_score.unpacked_keys(lm_score.packed_keys(keys)), keys)
