@@ -108,11 +108,12 @@ def padded(n: int, most: int) -> int:
     return n if n & (n - 1) == 0 else most
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", tokens: int = TOKENS, segments: int = SEGMENTS) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = TOKENS) -> DataFrame:
     """Pieces of all documents: (id_col, start, length, doc_tokens, sequence_id, offset, segment, padded, ids).
 
     ``path``: the tokenizer file.  ``ids``: the piece's ids, little-endian unsigned 32-bit.
-    All ids of a document bear loss but the first of each piece, which nothing precedes.
+    All ids of a document bear loss but its first, which nothing precedes; ``loss`` is a
+    sequence's limit of those (for raw text usually that of its tokens, so it doesn't bind).
     """
     from eventloom.llm.tokens import default_path
 
@@ -128,7 +129,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_
         encode = tokenizer(path).encode
         end = np.array([END_ID], "<u4").tobytes()
         base, number = TaskContext.get().partitionId() << 32, 0
-        packer = Packer(tokens, segments, tokens, cut=True)
+        packer = Packer(tokens, segments, loss, cut=True)
         kept: dict[int, tuple[object, int, int, bytes]] = {}  # id, ids in all, ids before the ones held, those
         serial, rows = 0, []
 
@@ -160,7 +161,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_
                 for i in range(b - a):
                     ids = encode(data[bounds[i] : bounds[i + 1]]) + end
                     n = len(ids) // 4
-                    whole = n - n % tokens
+                    whole = n - n % tokens if loss >= tokens else 0
                     kept[serial] = names[a + i], n, 0, ids
                     for start in range(0, whole, tokens):
                         emit([(serial, start, tokens)])
@@ -188,7 +189,8 @@ def pack_conversations(turns: DataFrame, path: str | None = None, id_col: str =
     """(id_col, sequence_id, offset, length, segments, loss): instruction examples, never cut.
 
     A conversation is one example: its turns are its segments and the tokens of the
-    assistant's turns bear loss.
+    assistant's turns bear loss (each turn ends with one more token).  Rows without an id are
+    one conversation; an example over a limit has a sequence of its own.
     """
     from eventloom.llm.tokens import default_path
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventloom.llm import decontam, html_render, langid, line_dedup, lm_score, packing, pii, quality, simhash, toxicity
 
+#: Limits of an instruction sequence: tokens, turns, and tokens that bear loss.
+TOKENS, SEGMENTS, LOSS = 2048, 16, 1024
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -61,6 +65,24 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "segment", "padded")
 
 
+@query
+def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each conversation its segments, and whether its sequence keeps all three limits and has no gaps.
+
+    ``alone``: it breaks a limit by itself.
+    """
+    placed = packing.pack_conversations(table(spark, sf_dir, "conversations"), tokens=TOKENS, segments=SEGMENTS, loss=LOSS)
+    sums = placed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.sum("segments").alias("s"), F.sum("loss").alias("l"), F.count("*").alias("k"))
+    in_order = W.partitionBy("sequence_id").orderBy("offset")  # SEGMENTS rows at most
+    follows = placed.withColumn("gapless", F.col("offset") == F.coalesce(F.lag(F.col("offset") + F.col("length")).over(in_order), F.lit(0)))
+    within = (F.col("n") <= TOKENS) & (F.col("s") <= SEGMENTS) & (F.col("l") <= LOSS)
+    own = (F.col("length") > TOKENS) | (F.col("segments") > SEGMENTS) | (F.col("loss") > LOSS)
+    return follows.join(sums, "sequence_id").select("conv_id", "segments", (within | own & (F.col("k") == 1)).alias("fits"), "gapless")
+
+
+ORACLE["packed_conversations"] = "SELECT conv_id, count(*) AS segments, true AS fits, true AS gapless FROM conversations GROUP BY conv_id"
+
+
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -80,3 +102,12 @@ ORACLE["op9_line_dedup"] = line_dedup.ORACLE
 @query
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).withColumnRenamed("accepted", "kept")
+
+
+@query
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of rendered pages, from their texts, their markup's language and their addresses."""
+    pages = table(spark, sf_dir, "pages")
+    declared = F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z-]+)", 1)
+    texts = html_render.extracted(pages.select("page_id", "url", declared.alias("declared"), "html"))
+    return langid.identify(texts, "page_id", "text", "declared", "url").withColumnRenamed("accepted", "kept")

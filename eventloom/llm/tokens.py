@@ -3,8 +3,10 @@
 The file's normaliser and pre-tokeniser never join text across blanks, so a text's ids
 are its blank-separated words' ids in a row.  Words of plain letters, digits and marks
 (ASCII and the accented Latin letters of two bytes) are cut by the file's own pattern and
-encoded with its merges by ``tiktoken``; every other word goes through ``tokenizers``.
-Both give the ids that ``tokenizers`` gives for the whole text (the tests compare them).
+encoded with its merges by ``tiktoken``; every other word, and each that has one of the
+file's special tokens in it, goes through ``tokenizers``.  Both give the ids that
+``tokenizers`` gives for the whole text at its defaults (the tests compare them), so a
+special token's string in a text is that token.
 """
 
 from __future__ import annotations
@@ -38,9 +40,11 @@ class WordTokenizer:
 
     def __init__(self, path: str) -> None:
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocabulary = file["model"]["vocab"]
+        special = [re.escape(t["content"].encode()) for t in file.get("added_tokens", [])]
+        self.has_special = re.compile(b"|".join(special)).search if special else lambda word: None
         letters = _letters()
         ranks = {}
         for symbol, i in vocabulary.items():
@@ -50,7 +54,7 @@ class WordTokenizer:
         self.known: dict[bytes, bytes] = {}
 
     def _word(self, word: bytes) -> bytes:
-        if _PLAIN.fullmatch(word):
+        if _PLAIN.fullmatch(word) and not self.has_special(word):
             ids = [i for piece in _PIECES.findall(word.translate(_LOWER)) for i in self.bpe(piece + _END)]
         else:
             ids = self.whole.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids

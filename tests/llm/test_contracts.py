@@ -15,6 +15,7 @@ ODD = [
     "mail a.b@c.d.e, x@y and 1@2.3 or a@b..c", "1.2.3.4 1.2.3.4.5 999.1.1.1 01.2.3.255 1.2.3", "card 4111 1111 1111 1111, 4111-1111-1111-1112, 4111  1111",
     "+1 (212) 555-0100 and +44.20.7946.0958 +1 +123456789012345678", "é" * 30 + " ünï +49 30 1234567 中文   x@é.com",
     "w1 w2 w3 w4 w5 w1 w2 w3 w4 w5 w6 w7", "A b C d e a B c D E", "#*$ %&| <> ### x\ty\x0bz\x0c\r\n", "x " * 30_000,
+    "hello <|endoftext|> world a<|endoftext|>b <|startoftext|><|ENDOFTEXT|> <|endoftext| >",
 ]
 
 
@@ -119,7 +120,6 @@ def test_packing_round_trip(docs):
     from eventloom.llm.tokens import default_path
 
     whole = Tokenizer.from_file(default_path())
-    whole.encode_special_tokens = True
     once = docs.dropDuplicates(["doc_id"])
     pieces = packing.pack_documents(once).collect()
     by_doc, by_sequence = {}, {}
