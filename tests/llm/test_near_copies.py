@@ -70,3 +70,30 @@ def test_near_copies_of_the_table_equal_brute_force(spark, sf):
     rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
     want = {i: c for i, c in least(rows).items() if i != c}
     assert {r.id: r.component for r in near_copies.near_copies(df).collect()} == want
+
+
+def test_order_of_shingles_does_not_matter(spark, docs_of_copies, monkeypatch):
+    monkeypatch.setattr(near_copies, "CROWD", 2)
+    monkeypatch.setattr(near_copies, "FREQUENT", 50)
+    want = {i: c for i, c in least(docs_of_copies).items() if i != c}
+    df = spark.createDataFrame(docs_of_copies, "doc_id long, text string")
+    assert {r.id: r.component for r in near_copies.near_copies(df).collect()} == want
+
+
+def test_repeated_rows_become_one(spark):
+    a, b = "one two three four five six seven " * 3, "eight nine ten eleven twelve thirteen fourteen " * 3
+    rows = [(1, a, 0), (1, a, 0), (2, b, 0), (2, b, 0), (2, a, 0), (3, None, 0), (3, None, 0), (None, a, 0), (None, a, 0)]
+    out = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, near_id int")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in out) == [(0, a), (0, a), (1, a), (2, b), (3, "")]
+
+
+def test_sketches_bound_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n, m in ((10, 12), (300, 290), (5_000, 64)):
+        a, b = (np.unique(rng.integers(0, 2**63, k, dtype=np.uint64)) for k in (n, m))
+        b = np.unique(np.concatenate([b, a[: n // 2]]))
+        x, y = near_copies.sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        assert near_copies.sketch_distance(x, y) <= len(np.setxor1d(a, b))
+        assert near_copies.sketch_distance(x, x) == 0
