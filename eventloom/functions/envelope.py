@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 #: Severities and tiers in rising order of their numbers, from 1.
 SEVERITIES = ("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL")
 TIERS = ("LOG", "METRIC", "TRACE", "AUDIT")
+#: Kinds of fields, classes of their values, kinds of metrics.
+KINDS = ("LABEL", "ATTRIBUTE", "MEASUREMENT", "TRACE_ID", "SPAN_ID", "PARENT_SPAN_ID")
+CLASSES = ("INTERNAL", "PII", "SECRET")
+METRICS = ("COUNTER", "GAUGE", "HISTOGRAM")
 #: The OTLP number of each severity.
 OTLP_NUMBERS = (1, 5, 9, 13, 17, 21)
 

@@ -153,3 +153,41 @@ def quoted_fields(labels: Column) -> Column:
         return F.concat(e["key"], F.lit("="), F.when((v == "") | v.rlike(r'[\s="{}]'), F.concat(F.lit('"'), inner, F.lit('"'))).otherwise(v))
 
     return F.array_join(F.transform(F.array_sort(F.map_entries(labels)), one), " ")
+
+
+def child_ids(trace_id: Column, span_id: Column, key: Column) -> Column:
+    """Ids of a child span: the parent's trace, a span id that follows from ``key``, the parent's span."""
+    return F.struct(trace_id.alias("trace_id"), F.substring(F.md5(F.concat(key, F.lit("/span"))), 1, 16).alias("span_id"), span_id.alias("parent_span_id"))
+
+
+def short(c: Column, most: int) -> Column:
+    """At most ``most`` characters: reasons have 512, debug keys 128."""
+    return F.left(c, F.lit(most))
+
+
+def time_or_now(ts_ns: Column, now_ns: int) -> Column:
+    """Zero or missing times become ``now_ns``."""
+    return F.coalesce(F.nullif(ts_ns, F.lit(0).cast("long")), F.lit(now_ns))
+
+
+def partition_hex(key: Column, digits: int = 16) -> Column:
+    """A short hex name of a partition's key."""
+    return F.substring(F.sha2(key, 256), 1, digits)
+
+
+def path_text(names: Column, between: str = ":") -> Column:
+    """Names of open spans from the outermost in: ``:`` in scopes, ``.`` in log bridges."""
+    return F.array_join(names, between)
+
+
+def word_of(c: Column, words: tuple[str, ...], prefix: str = "") -> Column:
+    """The one of ``words`` that a text names in any case, with or without ``prefix``; else null."""
+    name = F.regexp_replace(F.upper(F.trim(c)), f"^{prefix}", "") if prefix else F.upper(F.trim(c))
+    return F.when(name.isin(list(words)), name)
+
+
+def unique_labels(pairs: Column) -> Column:
+    """A map of an array of (key, value): sorted, and of equal keys the first."""
+    ordered = F.array_sort(pairs)
+    first = F.filter(ordered, lambda x, i: (i == 0) | (F.get(ordered, i - 1)["key"] != x["key"]))
+    return F.map_from_entries(first)

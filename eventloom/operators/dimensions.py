@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A dimension of more rows than this isn't broadcast.
@@ -40,3 +40,31 @@ def subscribed(envelopes: DataFrame, subscribers: list[dict]) -> DataFrame:
             match &= F.coalesce(F.col("labels")[k] == v, F.lit(False))
         hits.append(F.when(match, F.lit(s["name"])))
     return envelopes.withColumn("subscriber", F.explode(F.array_compact(F.array(*hits))))
+
+
+def kept_subscribers(subscribers: DataFrame, key: str, now_ns: int, idle_ns: int, most: int, most_per_key: int) -> DataFrame:
+    """``subscribers`` (id, since_ns, last_ns, ..) with ``state``: idle, over a cap (the later ones), or live.
+
+    A table of sessions, so small: idle ones go first, then the caps count the rest.
+    """
+    live = F.col("last_ns") >= now_ns - idle_ns
+    order = ["since_ns", "id"]
+    own = F.row_number().over(Window.partitionBy(key, live).orderBy(*order))
+    fits = live & (own <= most_per_key)
+    marked = subscribers.withColumn("_fits", fits)
+    nth = F.row_number().over(Window.partitionBy("_fits").orderBy(*order))
+    state = F.when(~live, "idle").when(~F.col("_fits"), "over key cap").when(nth > most, "over cap").otherwise("live")
+    return marked.withColumn("state", state).drop("_fits")
+
+
+def registrations(events: DataFrame, callsite: str, ts: str, tie: str, every: int = 10_000, after_ns: int = 600 * 10**9) -> DataFrame:
+    """The events at which a callsite is announced: its first, each ``every``-th after it, and all from ``after_ns`` on.
+
+    Only events of the first ``after_ns`` are counted in order; later ones need no order.
+    """
+    first = events.groupBy(F.col(callsite).alias("_of")).agg(F.min(F.struct(ts, tie)).alias("_first"))
+    joined = events.join(first, events[callsite] == first["_of"])
+    late = F.col(ts) - F.col("_first")[ts] >= after_ns
+    nth = F.row_number().over(Window.partitionBy(callsite).orderBy(ts, tie))
+    early = joined.where(~late).withColumn("_nth", nth).where(F.pmod(F.col("_nth") - 1, F.lit(every)) == 0).drop("_nth")
+    return early.unionByName(joined.where(late)).drop("_of", "_first")

@@ -17,11 +17,19 @@ _ORDER = ("LOW", "MEDIUM", "HIGH", "UNBOUNDED")
 FIELDS = "event string, tag int, field string, kind string, cardinality string, class string, metric string, type string, tier string"
 
 
-def lint(fields: DataFrame, prefix: str = "Obs", max_enum: dict[str, int] | None = None) -> DataFrame:
+#: Distinct values that a label's cardinality allows.
+CAPS = {"LOW": 32, "MEDIUM": 1024}
+
+
+def lint(fields: DataFrame, prefix: str = "Obs", caps: dict[str, int] | None = None) -> DataFrame:
     """(event, field, rule) of each broken rule; events without fields have one row with a null field.
 
-    ``fields`` has the columns FIELDS, the event as its full name.
+    ``fields`` has the columns FIELDS, the event as its full name, and where known the number
+    of an enumeration's ``variants``, which its cardinality caps (L005).
     """
+    if "variants" not in fields.columns:
+        fields = fields.withColumn("variants", F.lit(None).cast("int"))
+    cap = reduce(lambda a, kv: F.when(F.col("cardinality") == kv[0], kv[1]).otherwise(a), (CAPS if caps is None else caps).items(), F.lit(None).cast("int"))
     c, leaf = F.col, F.regexp_extract("event", r"([^.]*)$", 1)
     slot = reduce(lambda a, kv: F.when(F.col("kind") == kv[0], kv[1]).otherwise(a), _SLOTS.items(), F.lit(None).cast("string"))
     rules: dict[str, Column] = {
@@ -29,6 +37,7 @@ def lint(fields: DataFrame, prefix: str = "Obs", max_enum: dict[str, int] | None
         "L002": (c("kind") == "LABEL") & (c("class") == "PII"),
         "L003": (c("class") == "SECRET") & c("tier").isin("LOG", "AUDIT"),
         "L004": (c("kind") == "MEASUREMENT") & c("metric").isNull(),
+        "L005": (c("kind") == "LABEL") & (c("variants") > cap),
         "L006": (c("tier") == "AUDIT") & c("class").isin("PII", "SECRET"),
         "L007": ~is_snake_case(c("field")) & c("field").isNotNull(),
         "L012": c("field").isin(*RESERVED) & slot.isNull(),
@@ -84,3 +93,20 @@ def diff(base: DataFrame, head: DataFrame) -> DataFrame:
     )
     changed = joined.select(F.coalesce("b_event", "h_event").alias("event"), F.coalesce("b_tag", "h_tag").alias("tag"), what.alias("w")).where("w is not null")
     return changed.select("event", "tag", "w.change", "w.verdict").unionByName(new).unionByName(gone)
+
+
+def tallies(changes: DataFrame) -> DataFrame:
+    """(verdict, n) of a diff; the change set may not be released if BREAKING is among them."""
+    return changes.groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+def named(findings: DataFrame, parts: list[str], column: str = "event") -> DataFrame:
+    """The findings on events whose name has any of ``parts`` in it; all of them without parts."""
+    return findings.where(reduce(lambda a, b: a | b, (F.col(column).contains(x) for x in parts))) if parts else findings
+
+
+def filter_labels(fields: DataFrame, wanted: list[tuple[str, str]]) -> DataFrame:
+    """(event, label, is_label) for the labels that a filter reads: whether the event declares them as such."""
+    asked = fields.sparkSession.createDataFrame(wanted, "event string, label string")
+    labels = fields.where("kind = 'LABEL'").select("event", F.col("field").alias("label")).distinct().withColumn("is_label", F.lit(True))
+    return asked.join(labels, ["event", "label"], "left").withColumn("is_label", F.coalesce("is_label", F.lit(False)))

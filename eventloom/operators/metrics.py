@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from eventloom.functions.text import float_text, label_escape
 
 
+#: Parts that the series of one metric are dealt into.
+DEALS = 64
+
+
 def counters(points: DataFrame, series: list[str], value: Column) -> DataFrame:
     return points.groupBy(*series).agg(F.sum(value).alias("total"))
 
@@ -24,10 +28,23 @@ def histograms(points: DataFrame, series: list[str], value: str, bounds: list[fl
 
 
 def capped_series(points: DataFrame, name: str, series: str, order: list[str], most: int) -> DataFrame:
-    """(name, series, admitted, n): series by first appearance; those beyond ``most`` are refused."""
+    """(name, series, admitted, n): series by first appearance; those beyond ``most`` are refused.
+
+    The first ``most`` of a name are found by ranks within ``DEALS`` hashed parts of it and then
+    among what is left of those, so no task sees all series of one name.
+    """
     seen = points.groupBy(name, series).agg(F.min(F.struct(*order)).alias("first_at"), F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy(name).orderBy("first_at", series))
-    return seen.select(name, series, (rank <= most).alias("admitted"), "n")
+    part = seen.select(name, series, "first_at", F.pmod(F.xxhash64(series), F.lit(DEALS)).alias("_part"))
+    best = part.withColumn("_nth", F.row_number().over(Window.partitionBy(name, "_part").orderBy("first_at", series))).where(F.col("_nth") <= most)
+    first = best.withColumn("_nth", F.row_number().over(Window.partitionBy(name).orderBy("first_at", series))).where(F.col("_nth") <= most)
+    last = first.groupBy(F.col(name).alias("_name")).agg(F.max(F.struct("first_at", series)).alias("_last"))
+    joined = seen.join(last, seen[name].eqNullSafe(last["_name"]), "left")
+    return joined.select(name, series, (F.struct("first_at", series) <= F.col("_last")).alias("admitted"), "n")
+
+
+def alive(points: DataFrame, series: list[str], ts: str, now_ns: int, ttl_ns: int) -> DataFrame:
+    """Series with their last time, whether they had a point within ``ttl_ns`` before ``now_ns``."""
+    return points.groupBy(*series).agg(F.max(ts).alias("last_ns")).withColumn("alive", F.col("last_ns") >= now_ns - ttl_ns)
 
 
 def admitted_values(points: DataFrame, value: str, order: list[str], most: int, within: list[str] | None = None) -> DataFrame:

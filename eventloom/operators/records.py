@@ -10,15 +10,12 @@ from eventloom.functions.text import quoted_fields, redact_map, rfc3339, whole
 
 
 def log_record(envelopes: DataFrame) -> DataFrame:
-    """Log records: severity number and text, and attributes from labels and the envelope."""
-    own = F.map_filter(
-        F.create_map(
-            F.lit("event.name"), F.col("full_name"), F.lit("obs.sampling_reason"), F.col("sampling_reason"), F.lit("obs.span_id"), F.col("span_id")
-        ),
-        lambda k, v: v.isNotNull() & (v != ""),
-    )
-    labels = F.map_filter("labels", lambda k, v: ~F.map_contains_key(own, k))
-    return envelopes.withColumns({"severity_number": otlp_severity(F.col("sev_rank")), "severity_text": F.col("sev"), "attributes": F.map_concat(labels, own)})
+    """Log records: severity number and text, and attributes from labels and the envelope, whose own keys win."""
+    own = {"event.name": "full_name", "obs.schema_hash": "schema_hash", "obs.parent_span_id": "parent_span_id", "obs.callsite_id": "callsite_id", "obs.sampling_reason": "sampling_reason"}
+    pairs = [x for k, c in own.items() if c in envelopes.columns for x in (F.lit(k), F.col(c).cast("string"))]
+    shown = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull() & (v != "") & ((k != "obs.callsite_id") | (v != "0")))
+    labels = F.map_filter("labels", lambda k, v: ~F.map_contains_key(shown, k))
+    return envelopes.withColumns({"severity_number": otlp_severity(F.col("sev_rank")), "severity_text": F.col("sev"), "attributes": F.map_concat(labels, shown)})
 
 
 def metric_points(envelopes: DataFrame, measures: dict[str, str]) -> DataFrame:

@@ -36,7 +36,7 @@ def orphans(pairs: DataFrame) -> DataFrame:
 def span_records(envelopes: DataFrame, duration_ns: Column) -> DataFrame:
     """OTLP-like spans: the event's time is the end, errors set the status."""
     took = F.greatest(duration_ns, F.lit(0).cast("long"))
-    return envelopes.withColumns({"start_ns": F.greatest(F.col("ts_ns") - took, F.lit(0).cast("long")), "end_ns": F.col("ts_ns"), "status": F.when(F.col("sev_rank") >= 5, "ERROR").otherwise("OK"), "kind": F.lit("INTERNAL")})
+    return envelopes.withColumns({"start_ns": F.greatest(F.col("ts_ns") - took, F.lit(0).cast("long")), "end_ns": F.col("ts_ns"), "status": F.when(F.col("sev_rank") >= 5, "ERROR").otherwise("UNSET"), "kind": F.lit("INTERNAL")})
 
 
 def inherited(spans: DataFrame) -> DataFrame:

@@ -28,16 +28,21 @@ def rounded(c: str, digits: int = 4):
     return F.round(c, digits)
 
 
-def event_query(name: str, sql: str | None = None):
-    """Register a function of the envelopes; ``sql`` goes on after the WITH clause of ``env``."""
+def query_of_env(name: str, sql: str):
+    """Register a function of the envelopes with its whole SQL."""
 
     def add(f):
-        query(name, None if sql is None else ENV_SQL + sql)(lambda spark, d: f(env(spark, d)))
+        query(name, sql)(lambda spark, d: f(env(spark, d)))
         return f
 
     return add
 
 
+def event_query(name: str, sql: str):
+    """Register a function of the envelopes; ``sql`` goes on after the WITH clause of ``env``."""
+    return query_of_env(name, ENV_SQL + sql)
+
+
 IDS = ["event_id", "full_name", "sev"]
 
 
@@ -70,7 +75,7 @@ for _name, (_text, _where) in _FILTERS.items():
 
 @event_query(
     "fl05_interest",
-    "SELECT full_name, CASE full_name WHEN 'shop.v1.ObsClick' THEN 'SOMETIMES' WHEN 'shop.v1.ObsView' THEN 'NEVER' ELSE 'ALWAYS' END AS interest FROM env GROUP BY full_name",
+    "SELECT full_name, CASE WHEN full_name = 'shop.v1.ObsClick' THEN 'SOMETIMES' WHEN min(sev_rank) >= 3 THEN 'ALWAYS' ELSE 'NEVER' END AS interest FROM env GROUP BY full_name",
 )
 def interest(e: DataFrame) -> DataFrame:
     schemas = e.groupBy("full_name").agg(F.min("sev_rank").alias("default_rank"))
@@ -239,10 +244,10 @@ def promotion_cap(e: DataFrame) -> DataFrame:
     return metrics.admitted_values(e, "user_id", ["ts_ns", "event_id"], 32, ["full_name"]).select("event_id", "full_name", "user_id")
 
 
-@event_query("ag07_cardinality_check", "SELECT full_name, count(DISTINCT user_id) AS exact, true AS close FROM env GROUP BY full_name")
+@event_query("ag07_cardinality_check", "SELECT full_name, count(DISTINCT user_id) AS exact, count(DISTINCT user_id) > 64 AS over_cap, abs(approx_count_distinct(user_id) - count(DISTINCT user_id)) <= greatest(count(DISTINCT user_id) * 0.25, 4) AS close FROM env GROUP BY full_name")
 def cardinality(e: DataFrame) -> DataFrame:
     both = e.groupBy("full_name").agg(F.countDistinct("user_id").alias("exact"), F.approx_count_distinct("user_id", 0.02).alias("about"))
-    return both.select("full_name", "exact", (F.abs(F.col("about") - F.col("exact")) <= F.greatest(F.col("exact") * 0.1, F.lit(2))).alias("close"))
+    return both.select("full_name", "exact", (F.col("about") > 64).alias("over_cap"), (F.abs(F.col("about") - F.col("exact")) <= F.greatest(F.col("exact") * 0.1, F.lit(2))).alias("close"))
 
 
 @event_query(
@@ -300,12 +305,23 @@ def thinned(e: DataFrame) -> DataFrame:
     return e.where("sev_rank >= 5").withColumn("nth", nth).where(scopes.thinned(F.col("nth"))).select("event_id", "user_id", "nth")
 
 
-@event_query("wn04_token_bucket")
+def _fold_sql(first: str, step: str, state: str) -> str:
+    """SQL of a fold over each user's events in order: one round of recursion an event."""
+    ordered = "s AS (SELECT user_id, ts_ns, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts_ns, event_id) AS nth FROM env)"
+    steps = f"SELECT n.user_id, n.nth, n.ts_ns, n.event_id, {step} FROM (SELECT s.*, {state} FROM fold f JOIN s ON s.user_id = f.user_id AND s.nth = f.nth + 1) n"
+    return ENV_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f", {ordered}, fold AS (SELECT user_id, nth, ts_ns, event_id, {first} FROM s WHERE nth = 1 UNION ALL {steps}) SELECT user_id, event_id FROM fold WHERE admitted"
+
+
+_BUCKET_SQL = _fold_sql("CAST(4 AS DOUBLE) AS held, true AS admitted", "CASE WHEN held >= 1 THEN held - 1 ELSE held END, held >= 1", "least(5.0::DOUBLE, f.held + (s.ts_ns - f.ts_ns) / 1e9::DOUBLE * (1::DOUBLE / 86400::DOUBLE)) AS held")
+_QUIET_SQL = _fold_sql("ts_ns AS held, true AS admitted", f"CASE WHEN n.ts_ns - held >= {6 * 3600 * 10**9} THEN n.ts_ns ELSE held END, n.ts_ns - held >= {6 * 3600 * 10**9}", "f.held AS held")
+
+
+@query_of_env("wn04_token_bucket", _BUCKET_SQL)
 def bucket(e: DataFrame) -> DataFrame:
     return scopes.token_bucket(e.select("user_id", "ts_ns", "event_id"), "user_id", rate_per_s=1 / 86400, burst=5).where("admitted").select("user_id", "event_id")
 
 
-@event_query("wn05_debounce")
+@query_of_env("wn05_debounce", _QUIET_SQL)
 def debounce(e: DataFrame) -> DataFrame:
     return scopes.debounced(e.select("user_id", "ts_ns", "event_id"), "user_id", gap_ms=6 * 3600 * 1000).where("admitted").select("user_id", "event_id")
 
@@ -341,14 +357,14 @@ def parent_trace(e: DataFrame) -> DataFrame:
     return spans.inherited(own).select("event_id", "parent_span_id", "trace_id")
 
 
-@event_query("pj12_span_records", "SELECT event_id, greatest(ts_ns - k * 1000000, 0) AS start_ns, ts_ns AS end_ns, CASE WHEN sev_rank >= 5 THEN 'ERROR' ELSE 'OK' END AS status, 'INTERNAL' AS kind FROM env WHERE tier = 'TRACE' OR sev_rank >= 5")
+@event_query("pj12_span_records", "SELECT event_id, greatest(ts_ns - k * 1000000, 0) AS start_ns, ts_ns AS end_ns, CASE WHEN sev_rank >= 5 THEN 'ERROR' ELSE 'UNSET' END AS status, 'INTERNAL' AS kind FROM env WHERE tier = 'TRACE' OR sev_rank >= 5")
 def span_records(e: DataFrame) -> DataFrame:
     return spans.span_records(e.where("tier = 'TRACE' or sev_rank >= 5"), F.col("k") * 1000000).select("event_id", "start_ns", "end_ns", "status", "kind")
 
 
 @event_query(
     "pj10_log_records",
-    "SELECT event_id, CAST([1, 5, 9, 13, 17, 21][sev_rank] AS INTEGER) AS severity_number, sev AS severity_text, 'bucket=' || bucket || ',event.name=' || full_name || ',event_type=' || event_type || ',obs.sampling_reason=HEAD_RATE,obs.span_id=' || span_id || ',region=' || region AS attributes FROM env",
+    "SELECT event_id, CAST([1, 5, 9, 13, 17, 21][sev_rank] AS INTEGER) AS severity_number, sev AS severity_text, 'bucket=' || bucket || ',event.name=' || full_name || ',event_type=' || event_type || ',obs.sampling_reason=HEAD_RATE,region=' || region AS attributes FROM env",
 )
 def log_records(e: DataFrame) -> DataFrame:
     return records.log_record(e).select("event_id", "severity_number", "severity_text", labels_text(F.col("attributes")).alias("attributes"))
@@ -398,10 +414,12 @@ def bridge(e: DataFrame) -> DataFrame:
     return found.select("event_id", "message", labels_text(F.col("attrs")).alias("attrs"), labels_text(F.col("labels")).alias("labels"))
 
 
-@event_query("pj18_interning", "SELECT e.event_id, e.full_name, e.service FROM env e WHERE sev_rank >= 1")
+@event_query("pj18_interning", "SELECT event_id, full_name, service, (SELECT count(*) FROM (SELECT DISTINCT full_name, service FROM env)) AS n_callsites, dense_rank() OVER (ORDER BY full_name, service) AS callsite FROM env")
 def interning(e: DataFrame) -> DataFrame:
     slim, callsites = records.interned(e.select("event_id", "full_name", "service"), ["full_name", "service"])
-    return dimensions.split_by_lookup(slim, callsites, "callsite_id")[0].select("event_id", "full_name", "service")
+    numbered = callsites.agg(F.array_sort(F.collect_list(F.struct("full_name", "service", "callsite_id"))).alias("every"))  # one row a callsite
+    known = numbered.select(F.size("every").cast("long").alias("n_callsites"), F.posexplode("every").alias("at", "c")).select("c.*", "n_callsites", (F.col("at") + 1).cast("long").alias("callsite"))
+    return dimensions.split_by_lookup(slim, known, "callsite_id")[0].select("event_id", "full_name", "service", "n_callsites", "callsite")
 
 
 @event_query("jn02_unresolved_callsites", "SELECT event_id FROM env WHERE service = 'batch'")
@@ -469,8 +487,9 @@ def dates(e: DataFrame) -> DataFrame:
     return e.select("service", at["date"].alias("date"), at["hour"].alias("hour")).groupBy("service", "date", "hour").agg(F.count("*").alias("n"))
 
 
-@event_query("fn26_scrub", "SELECT event_id, '<redacted-props>' AS props, CAST(NULL AS VARCHAR) AS user_id, CAST(k AS VARCHAR) AS k FROM env")
+@event_query("fn26_scrub", "SELECT event_id, CASE WHEN event_id % 3 > 0 THEN '<redacted-props>' END AS props, CAST(NULL AS VARCHAR) AS user_id, CAST(k AS VARCHAR) AS k FROM env")
 def scrubbed(e: DataFrame) -> DataFrame:
+    e = e.withColumn("props", F.when(F.col("event_id") % 3 > 0, F.col("props")))
     return e.select("event_id", tx.scrub(F.col("props"), "props", "PII", True).alias("props"), tx.scrub(F.col("user_id"), "user_id", "PII", False).alias("user_id"), tx.scrub(F.col("k"), "k", "INTERNAL", False).cast("string").alias("k"))
 
 

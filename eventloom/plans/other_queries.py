@@ -118,10 +118,10 @@ def idempotent(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("event_id long, full_name string").parquet(out).select("event_id", "full_name")
 
 
-@query("sr08_stream_pairs", ENV_SQL + ", s AS (SELECT span_id, ts_ns FROM env WHERE event_id % 2 = 0) SELECT span_id, ts_ns AS start_ns, ts_ns + 5000000000 AS end_ns FROM s WHERE ('0x' || substr(span_id, 1, 1))::BIGINT < 8")
+@query("sr08_stream_pairs", ENV_SQL + " SELECT span_id, ts_ns AS start_ns, ts_ns + 5000000000 AS end_ns FROM env WHERE ('0x' || substr(span_id, 1, 1))::BIGINT < 8")
 def stream_pairs(spark: SparkSession, d: str) -> DataFrame:
     at = shared_path(spark, "halves")
-    e = env(spark, d).where("event_id % 2 = 0").select("span_id", "ts_ns")
+    e = env(spark, d).select("span_id", "ts_ns")
     ends = e.where("conv(substr(span_id, 1, 1), 16, 10) < 8").withColumn("ts_ns", F.col("ts_ns") + 5 * 10**9)
     e.withColumn("half", F.lit("s")).unionByName(ends.withColumn("half", F.lit("e"))).write.partitionBy("half").parquet(at)
     read = lambda h: spark.readStream.schema("span_id string, ts_ns long").parquet(f"{at}/half={h}")
@@ -217,9 +217,7 @@ def order_revenue(spark: SparkSession, d: str) -> DataFrame:
     places = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     who = table(spark, d, "customer").select("c_custkey", "c_nationkey").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
     found = table(spark, d, "orders").select("o_custkey", "o_totalprice").join(who, F.col("o_custkey") == F.col("c_custkey"))
-    return metrics.counters(found.withColumns({"nation": F.col("n_name"), "region": F.col("r_name"), "one": F.lit(1)}), ["nation", "region"], F.col("one")).withColumnRenamed("total", "n").join(
-        found.groupBy(F.col("n_name").alias("nation")).agg(F.round(F.sum("o_totalprice"), 2).alias("total")), "nation"
-    )
+    return found.groupBy(F.col("n_name").alias("nation"), F.col("r_name").alias("region")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 @query(
@@ -236,7 +234,10 @@ def shipments(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy("o_orderkey").agg(F.count("l_orderkey").alias("n_lines"), F.min(F.col("shipped") - F.col("placed")).alias("first_ns"))
 
 
-@query("sc10_schema_catalogue", "SELECT * FROM (VALUES " + ", ".join(f"('{s.full_name}', '{s.tier}', '{s.sev}', CAST({len(s.fields)} AS BIGINT))" for s in schemas.SCHEMAS) + ") t(full_name, tier, sev, n_fields)")
+@query(
+    "sc10_schema_catalogue",
+    "SELECT full_name, tier, sev, CAST(n AS BIGINT) AS n_fields FROM (VALUES ('shop.v1.ObsClick', 'METRIC', 'DEBUG', 2), ('shop.v1.ObsError', 'LOG', 'ERROR', 2), ('shop.v1.ObsPurchase', 'AUDIT', 'INFO', 2), ('shop.v1.ObsSignup', 'LOG', 'WARN', 2), ('shop.v1.ObsView', 'TRACE', 'TRACE', 2)) t(full_name, tier, sev, n)",
+)
 def catalogue(spark: SparkSession, d: str) -> DataFrame:
     f = schemas.field_table(spark, schemas.SCHEMAS)
     dims = schemas.schema_table(spark, schemas.SCHEMAS)
@@ -246,7 +247,8 @@ def catalogue(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "gv01_lint",
-    "SELECT * FROM (VALUES " + ", ".join(f"('{e}', {'NULL' if x is None else repr(x)}, '{r}')" for e, x, r in schemas.BAD_LINTS) + ") t(event, field, rule)",
+    """SELECT 'bad.v1.' || event AS event, field, rule FROM (VALUES ('ObsEmpty', NULL, 'L009'), ('Unprefixed', NULL, 'L011'), ('ObsLabels', 'user', 'L001'), ('ObsLabels', 'email', 'L002'), ('ObsSecret', 'api_key', 'L003'), ('ObsSecret', 'took', 'L004'),
+    ('ObsAudit', 'mail', 'L006'), ('ObsAudit', 'CamelCase', 'L007'), ('ObsSlots', 'payload', 'L012'), ('ObsSlots', 'trace', 'L014'), ('ObsSlots', 'span_id', 'L014')) t(event, field, rule)""",
 )
 def lint(spark: SparkSession, d: str) -> DataFrame:
     return governance.lint(schemas.field_table(spark, schemas.BAD))
@@ -257,6 +259,10 @@ def conflicts(spark: SparkSession, d: str) -> DataFrame:
     return governance.label_conflicts(schemas.field_table(spark, schemas.BAD))
 
 
-@query("jn06_schema_diff", "SELECT * FROM (VALUES " + ", ".join(f"('{e}', CAST({'NULL' if t is None else t} AS INTEGER), '{c}', '{v}')" for e, t, c, v in schemas.DIFFS) + ") t(event, tag, change, verdict)")
+@query(
+    "jn06_schema_diff",
+    """SELECT 'app.v1.' || event AS event, CAST(tag AS INTEGER) AS tag, change, verdict FROM (VALUES ('ObsA', 1, 'kind', 'BREAKING'), ('ObsA', 2, 'cardinality', 'BREAKING'), ('ObsA', 3, 'class', 'BREAKING'), ('ObsA', 4, 'field removed', 'BREAKING'),
+    ('ObsA', 5, 'field added', 'OK'), ('ObsB', NULL, 'event removed', 'BREAKING'), ('ObsC', NULL, 'event added', 'NEW')) t(event, tag, change, verdict)""",
+)
 def schema_diff(spark: SparkSession, d: str) -> DataFrame:
     return governance.diff(schemas.field_table(spark, schemas.BASE), schemas.field_table(spark, schemas.HEAD))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,6 +68,30 @@ def put_batch(path: str):
     return put
 
 
+def put_jdbc(url: str, table: str, properties: dict[str, str] | None = None, attempts: int = 5, batch_rows: int = 8192, refused=None):
+    """A ``foreachBatch`` function that appends each micro-batch over JDBC, ``batch_rows`` a statement.
+
+    After ``attempts`` failures the batch is given to ``refused`` (a function of the batch, its
+    number and the error), or else the query fails and the batch is tried again later.  Rows
+    carry the batch's number, so that a replayed batch can be told.
+    """
+    options = {"batchsize": str(batch_rows), **(properties or {})}
+
+    def put(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("batch_number", F.lit(number))
+        for attempt in range(attempts):
+            try:
+                rows.write.mode("append").options(**options).format("jdbc").option("url", url).option("dbtable", table).save()
+                return
+            except Exception as error:  # noqa: BLE001  whatever the driver raises
+                if attempt == attempts - 1:
+                    if refused is None:
+                        raise
+                    refused(batch, number, error)
+
+    return put
+
+
 def fan_out(puts: list):
     """A ``foreachBatch`` function for several sinks; the batch is computed once."""
     if not puts:
@@ -84,9 +108,15 @@ def fan_out(puts: list):
     return put
 
 
+def evicted(files: DataFrame, most_bytes: int, by: str = "modified", size: str = "bytes", name: str = "path") -> DataFrame:
+    """The files to delete so that the newest of a listing stay under ``most_bytes`` together."""
+    w = Window.orderBy(F.desc(by), F.desc(name)).rowsBetween(Window.unboundedPreceding, 0)  # a listing, so small
+    return files.withColumn("held", F.sum(size).over(w)).where(F.col("held") > most_bytes).drop("held")
+
+
 def newest(files: DataFrame, most: int, by: str = "modified", name: str = "path") -> DataFrame:
     """The ``most`` newest of a listing of files; the rest may be deleted."""
     return files.orderBy(F.desc(by), F.desc(name)).limit(most)
 
 
-__all__ = ["ddl", "fan_out", "newest", "payload_column", "put_batch", "read", "schema_json", "typed_payload", "with_partitions", "write"]
+__all__ = ["ddl", "evicted", "fan_out", "newest", "payload_column", "put_batch", "put_jdbc", "read", "schema_json", "typed_payload", "with_partitions", "write"]
