@@ -7,7 +7,9 @@ those of whole candidate spans (shape, digits, checksums, the words before), a s
 at most ``MAX_TOKENS`` tokens, and dynamic programming picks boundaries and types of all
 spans of a stretch of text together.  Tokens far from any digit, @ or = can be in no span,
 so only the stretches around those are decoded, which gives the same result as decoding
-all of the text.
+all of the text.  A stretch has any length: spans are bounded, so candidates are scored
+``CHUNK`` tokens at a time while the program moves on, and only the best way into each
+token is kept.
 
 The weights are learnt by conditional likelihood on examples drawn from a generator in
 this module with a fixed seed, so they are the same whatever the corpus.
@@ -25,6 +27,7 @@ import random
 import re
 import string
 from functools import lru_cache
+from itertools import takewhile
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -37,8 +40,8 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
 NONE = len(KINDS)
 MAX_TOKENS = 14
-#: A stretch that is decoded at once; longer ones are cut at a blank.
-MAX_STRETCH = 400
+#: Tokens whose candidates are scored at once.
+CHUNK = 512
 
 _LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -46,6 +49,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@=]")
+_BLANK = re.compile(r"\s")
 _TOKEN = re.compile(r"[^\W_]+|[^\s]|_", re.A)
 _HAS_TRIGGER = np.zeros(256, bool)
 _HAS_TRIGGER[[*range(48, 58), 64, 61]] = True
@@ -137,22 +141,43 @@ def span_features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> l
     return out
 
 
-def candidates(text: str, tokens: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Token ranges that may be a span: they hold a digit or @ and no part of ``taken``."""
-    free = [not any(a < e and s < b for s, e in taken) for a, b in tokens]
-    first = [text[a].isalnum() or text[a] in "+(" for a, _ in tokens]
-    last = [text[b - 1].isalnum() for _, b in tokens]
-    sign = [any("0" <= c <= "9" or c == "@" for c in text[a:b]) for a, b in tokens]
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same places as ranges in order that don't overlap."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(ranges):
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((s, e))
+    return out
+
+
+def untaken(tokens: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[bool]:
+    """Whether each token (in order) overlaps none of ``taken``."""
+    ranges, out, k = merged(taken), [], 0
+    for a, b in tokens:
+        while k < len(ranges) and ranges[k][1] <= a:
+            k += 1
+        out.append(k == len(ranges) or b <= ranges[k][0])
+    return out
+
+
+def candidates(text: str, tokens: list[tuple[int, int]], free: list[bool], lo: int = 0, hi: int | None = None) -> list[tuple[int, int]]:
+    """Token ranges that may be a span and start from ``lo`` to before ``hi``: they hold a digit or @, and ``free`` tokens only."""
+    hi = len(tokens) if hi is None else hi
+    last = [text[b - 1].isalnum() for _, b in tokens[lo : hi + MAX_TOKENS]]
+    sign = [any("0" <= c <= "9" or c == "@" for c in text[a:b]) for a, b in tokens[lo : hi + MAX_TOKENS]]
     out = []
-    for i in range(len(tokens)):
-        if not first[i]:
+    for i in range(lo, hi):
+        start = text[tokens[i][0]]
+        if not (start.isalnum() or start in "+("):
             continue
         seen = False
         for j in range(i, min(i + MAX_TOKENS, len(tokens))):
             if not free[j] or j > i and tokens[j][0] - tokens[j - 1][1] > 1:
                 break
-            seen = seen or sign[j]
-            if seen and last[j]:
+            seen = seen or sign[j - lo]
+            if seen and last[j - lo]:
                 out.append((i, j))
     return out
 
@@ -173,32 +198,34 @@ class SemiMarkov:
     def scores(self, text: str, tokens, spans) -> np.ndarray:
         return np.array([self.weights[self._ids(span_features(text, tokens, i, j), False)].sum(axis=0) for i, j in spans]).reshape(-1, len(KINDS))
 
-    def decode(self, text: str, tokens, taken) -> list[tuple[str, int, int]]:
+    def decode(self, text: str, tokens, taken, chunk: int = CHUNK) -> list[tuple[str, int, int]]:
         """The best segmentation's spans, by dynamic programming over token positions."""
-        spans = candidates(text, tokens, taken)
-        if not spans:
-            return []
-        scores = self.scores(text, tokens, spans)
-        kind, value = scores.argmax(axis=1), scores.max(axis=1)
-        by_end: dict[int, list[int]] = {}
-        for k, (_, j) in enumerate(spans):
-            if value[k] > 0:
-                by_end.setdefault(j, []).append(k)
-        best, back = [0.0] * (len(tokens) + 1), [-1] * (len(tokens) + 1)
-        for j in range(len(tokens)):
-            best[j + 1] = best[j]
-            for k in by_end.get(j, ()):
-                v = best[spans[k][0]] + float(value[k])
-                if v > best[j + 1]:
-                    best[j + 1], back[j + 1] = v, k
-        out, j = [], len(tokens)
+        free, n = untaken(tokens, taken), len(tokens)
+        best, back = [0.0], [None]
+        ways: dict[int, list[tuple[int, float, int]]] = {}  # by last token: first token, score, kind
+        for s in range(0, n, chunk):
+            e = min(s + chunk, n)
+            spans = candidates(text, tokens, free, s, e)
+            if spans:
+                scores = self.scores(text, tokens, spans)
+                kind, value = scores.argmax(axis=1), scores.max(axis=1)
+                for k in np.flatnonzero(value > 0).tolist():
+                    i, j = spans[k]
+                    ways.setdefault(j, []).append((i, float(value[k]), int(kind[k])))
+            for j in range(s, e):  # every candidate that ends here has been scored
+                top, way = best[j], None
+                for i, v, k in ways.pop(j, ()):
+                    if best[i] + v > top:
+                        top, way = best[i] + v, (i, k)
+                best.append(top)
+                back.append(way)
+        out, j = [], n
         while j > 0:
-            k = back[j]
-            if k < 0:
+            if back[j] is None:
                 j -= 1
                 continue
-            i, e = spans[k]
-            out.append((KINDS[kind[k]], tokens[i][0], tokens[e][1]))
+            i, k = back[j]
+            out.append((KINDS[k], tokens[i][0], tokens[j - 1][1]))
             j = i
         return out[::-1]
 
@@ -207,7 +234,7 @@ class SemiMarkov:
         prepared = []
         for text, gold in examples:
             tokens = [m.span() for m in _TOKEN.finditer(text)]
-            spans = candidates(text, tokens, [])
+            spans = candidates(text, tokens, [True] * len(tokens))
             ids = [self._ids(span_features(text, tokens, i, j), True) for i, j in spans]
             wanted = {(a, b): KINDS.index(kind) for kind, a, b in gold}
             target = [wanted.get((tokens[i][0], tokens[j][1]), NONE) for i, j in spans]
@@ -314,25 +341,27 @@ def stretches(text: str) -> list[tuple[int, int]]:
         lo = max(m.start() - 48, 0)
         while lo > 0 and not text[lo - 1].isspace() and m.start() - lo < 96:
             lo -= 1
-        hi = m.end()
-        while hi < len(text) and hi - m.start() < MAX_STRETCH and not text[hi].isspace():
-            hi += 1
-        if out and lo <= out[-1][1] and hi - out[-1][0] <= MAX_STRETCH:
-            out[-1][1] = max(hi, out[-1][1])
+        blank = _BLANK.search(text, m.end())
+        hi = blank.start() if blank else len(text)
+        if out and lo <= out[-1][1]:
+            out[-1][1] = hi
         else:
-            out.append([max(lo, out[-1][1] if out else 0), hi])
-        at = max(hi, m.end())
+            out.append([lo, hi])
+        at = hi
     return [(a, min(b + 12, len(text))) for a, b in out]
 
 
 def all_spans(text: str, model: SemiMarkov) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and those that the CRF adds."""
     base = base_spans(text)
+    taken, k = merged([(a, b) for _, a, b in base]), 0
     added: list[tuple[str, int, int]] = []
     for lo, hi in stretches(text):
-        tokens = [(m.start() + lo, m.end() + lo) for m in _TOKEN.finditer(text[lo:hi])]
-        taken = [(a, b) for _, a, b in [*base, *added] if a < hi and lo < b]
-        added += model.decode(text, tokens, taken)
+        while k < len(taken) and taken[k][1] <= lo:
+            k += 1
+        mine = list(takewhile(lambda r: r[0] < hi, taken[k:k + hi - lo]))
+        mine += takewhile(lambda r: r[1] > lo, ((a, b) for _, a, b in reversed(added)))
+        added += model.decode(text, [m.span() for m in _TOKEN.finditer(text, lo, hi)], mine)
     return base, added
 
 
