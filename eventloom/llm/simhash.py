@@ -3,7 +3,9 @@
 A fingerprint has 64 bits over the XXH64 hashes of a text's word shingles.  Two that
 differ in at most four bits agree on at least two of six blocks, so each distinct
 fingerprint is dealt out under all fifteen pairs of blocks (keys of 20 to 22 bits) and
-compared within a key.  Only the links of a spanning forest leave a key, never all its
+compared within a key.  More fingerprints take longer keys, so that a key stays sparse:
+three of seven blocks (27 to 29 bits, 35 keys) or four of eight (32 bits, 70 keys), with
+the same links.  Only the links of a spanning forest leave a key, never all its
 pairs.  A key with more than ``dense`` fingerprints is not compared pair by pair: its
 fingerprints meet at common midpoints instead (two within four bits share a value at
 two bits or fewer from both), which is linear in their number and exact as well.
@@ -34,8 +36,9 @@ from eventloom.llm.graph import components
 SHINGLE = 4
 SEED = 42
 DISTANCE = 4
-#: (first bit, width) of the blocks; any DISTANCE changed bits leave two of them whole.
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: Blocks that a fingerprint is cut into, and up to how many distinct fingerprints; any
+#: DISTANCE changed bits leave all but DISTANCE blocks whole, and those make a key.
+BLOCKS = ((6, 1 << 26), (7, 1 << 33), (8, None))
 #: More distinct fingerprints than this under one key go by midpoints.
 DENSE = 20_000
 
@@ -77,10 +80,27 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_texts(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")), "text", ["id"], [T.StructField(name, T.LongType())], start)
 
 
-def _keys() -> list:
-    """The fifteen block-pair keys of column ``fp``, as longs that tell the pairs apart."""
+def _blocks(count: int) -> list[tuple[int, int]]:
+    """(first bit, width) of ``count`` blocks of nearly equal width."""
+    at = [64 * k // count for k in range(count + 1)]
+    return [(a, b - a) for a, b in zip(at, at[1:], strict=False)]
+
+
+def _keys(count: int) -> list:
+    """The keys of column ``fp``, each of all but DISTANCE of ``count`` blocks, as longs that tell the choices apart."""
     block = lambda at, width: F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1))
-    return [F.lit(i << 22).bitwiseOR(F.shiftleft(block(*a), b[1])).bitwiseOR(block(*b)) for i, (a, b) in enumerate(combinations(BLOCKS, 2))]
+    out = []
+    for i, chosen in enumerate(combinations(_blocks(count), count - DISTANCE)):
+        key = F.lit(0).cast("long")
+        for b in chosen:
+            key = F.shiftleft(key, b[1]).bitwiseOR(block(*b))
+        out.append(key.bitwiseOR(F.lit(i << 40)))
+    return out
+
+
+def blocks_for(fingerprints: int) -> int:
+    """How many blocks keep the keys of so many fingerprints sparse."""
+    return next(count for count, most in BLOCKS if most is None or fingerprints <= most)
 
 
 def _find(parent: np.ndarray, i: int) -> int:
@@ -115,7 +135,7 @@ def forest(keys: np.ndarray, fps: np.ndarray, most: int = DISTANCE) -> list[tupl
     return out
 
 
-def _links(nodes: DataFrame, dense: int) -> DataFrame:
+def _links(nodes: DataFrame, dense: int, blocks: int) -> DataFrame:
     """(u, v, fp): links between representatives; v null: u's fp lies under a dense key."""
 
     def run(batches):
@@ -152,7 +172,7 @@ def _links(nodes: DataFrame, dense: int) -> DataFrame:
                 held = [x[:0] for x in held]
         yield from out(close(*held))
 
-    dealt = nodes.select(F.explode(F.array(*_keys())).alias("key"), "fp", "rep")
+    dealt = nodes.select(F.explode(F.array(*_keys(blocks))).alias("key"), "fp", "rep")
     return map_arrow(dealt.repartition("key").sortWithinPartitions("key", "fp"), run, "u long, v long, fp long")
 
 
@@ -166,10 +186,10 @@ def _midpoint_links(dense: DataFrame) -> DataFrame:
     return near.join(least, near.mid == least["at"]).where("u <> v").select("u", "v").distinct()
 
 
-def groups(prints: DataFrame, dense: int = DENSE) -> DataFrame:
+def groups(prints: DataFrame, dense: int = DENSE, blocks: int | None = None) -> DataFrame:
     """(fp, component): the least id that each distinct fp of ``prints`` (id, fp) reaches."""
     nodes = cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("rep")))
-    found = cut_lineage(_links(nodes.where("rep is not null"), dense))
+    found = cut_lineage(_links(nodes.where("rep is not null"), dense, blocks or blocks_for(nodes.count())))
     links = found.where("v is not null").select("u", "v")
     crowded = found.where("v is null").select("fp", F.col("u").alias("rep")).distinct()
     if not crowded.isEmpty():
@@ -178,10 +198,10 @@ def groups(prints: DataFrame, dense: int = DENSE) -> DataFrame:
     return nodes.join(labels, nodes.rep == labels.id, "left").select("fp", F.coalesce("component", "rep").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dense: int = DENSE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dense: int = DENSE, blocks: int | None = None) -> DataFrame:
     """(id_col, fingerprint, component_id): one row for each row of ``docs``."""
     prints = cut_lineage(fingerprints(docs, id_col, text_col))
-    grouped = groups(prints, dense).withColumnRenamed("fp", "of")
+    grouped = groups(prints, dense, blocks).withColumnRenamed("fp", "of")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(grouped, prints.fp == grouped.of).select(F.col("id").alias(id_col), hexed.alias("fingerprint"), F.col("component").alias("component_id"))
 
