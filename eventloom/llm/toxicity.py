@@ -11,7 +11,8 @@ task, whose input is bounded by those two numbers, runs the online updates.  Sco
 one narrow pass over every document.
 
 Defined results: a null or empty text has only the bias; a label that is null is not
-used; of several labels for one id the greatest counts; without any usable label all
+used; of several labels for one id the greatest counts, and of several texts the last in
+order, so the sample's bound holds for rows as well; without any usable label all
 scores are 0.5 at a weight of zero and predicted is 1 by the stated rule.
 """
 
@@ -115,7 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.max(label_col).cast("long").alias("label"))
     sample = bounded_sample(marked.where("label = 1"), "label_id", MAX_POSITIVE).unionByName(bounded_sample(marked.where("label = 0"), "label_id", MAX_NEGATIVE))
     plain = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return train(plain.join(F.broadcast(sample), plain.id == sample.label_id).select(plain.id.cast("long").alias("id"), "text", "label"), bits)
+    rows = plain.join(F.broadcast(sample), plain.id == sample.label_id).select(plain.id.cast("long").alias("id"), "text", "label")
+    return train(rows.groupBy("id", "label").agg(F.max("text").alias("text")).select("id", "text", "label"), bits)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
