@@ -16,7 +16,8 @@ passages that pass them are handed to WAND, which is exact.
 
 The benchmark is read in shards of at most ``SHARD_ITEMS`` items, by a hash of the item
 id; each shard's index is broadcast on its own, so a broadcast's size is bounded however
-large the benchmark is.
+large the benchmark is.  Document frequencies, the mean length and the passages' length
+are those of the whole benchmark, so shards don't change a score or a match.
 
 Defined results: null or empty texts and items match nothing; an item with fewer than
 five words is one shingle of all its words; repeated rows give repeated results; an empty
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventloom.llm import vectext as vt
-from eventloom.llm.common import map_arrow, row_slices
+from eventloom.llm.common import cut_lineage, map_arrow, row_slices
 
 K1, B = 1.2, 0.75
 MIN_SCORE = 0.6
@@ -76,11 +77,27 @@ def _of(texts: list[str]) -> list[np.ndarray]:
     return [h[a:b] for a, b in zip(first, first[1:], strict=False)]
 
 
+class Statistics:
+    """Number of items with words, their mean and greatest length, and how many items each term is in."""
+
+    def __init__(self, items: int, mean: float, longest: int, terms: np.ndarray, df: np.ndarray) -> None:
+        self.items, self.mean, self.longest, self.terms, self.df = items, mean, longest, terms, df
+
+    @staticmethod
+    def of(words: list[np.ndarray]) -> Statistics:
+        sizes = [len(w) for w in words]
+        terms, df = np.unique(np.concatenate([*(np.unique(w) for w in words), np.zeros(0, np.uint64)]), return_counts=True)
+        return Statistics(len(words), float(np.mean(sizes)) if sizes else 0.0, max(sizes, default=1), terms, df)
+
+    def frequencies(self, terms: np.ndarray) -> np.ndarray:
+        return self.df[np.searchsorted(self.terms, terms)]
+
+
 class Index:
     """Postings of normalised BM25 scores by term, with block maxima and essential parts."""
 
-    def __init__(self, items: list[tuple[object, str, str]], min_score: float = MIN_SCORE) -> None:
-        """``items``: (id, question, answer)."""
+    def __init__(self, items: list[tuple[object, str, str]], min_score: float = MIN_SCORE, whole_set: Statistics | None = None) -> None:
+        """``items``: (id, question, answer), all of the benchmark or a shard of what ``whole_set`` describes."""
         questions, answers = _of([q for _, q, _ in items]), _of([a for _, _, a in items])
         whole = [np.concatenate(x) for x in zip(questions, answers, strict=True)]
         some = [i for i, w in enumerate(whole) if len(w)]
@@ -88,23 +105,24 @@ class Index:
         self.questions, self.answers = [np.unique(questions[i]) for i in some], [np.unique(answers[i]) for i in some]
         words = [whole[i] for i in some]
         self.min_score = min_score
-        self.longest = max((len(w) for w in words), default=1)
+        whole_set = whole_set or Statistics.of(words)
+        self.longest = whole_set.longest
         self.shingle = [min(SHINGLE, len(w)) for w in words]
         self.shingles = [np.unique(vt.grams(w, np.array([0, len(w)]), n)[0]) for w, n in zip(words, self.shingle, strict=True)]
-        self._postings(words)
+        self._postings(words, whole_set)
         self._essential()
 
-    def _postings(self, words: list[np.ndarray]) -> None:
+    def _postings(self, words: list[np.ndarray], whole_set: Statistics) -> None:
         item = np.repeat(np.arange(len(words)), [len(w) for w in words])
         flat = np.concatenate([*words, np.zeros(0, np.uint64)])
         self.terms, term = np.unique(flat, return_inverse=True)
         n = max(len(words), 1)
         pair, tf = np.unique(term * n + item, return_counts=True)
         term, item = pair // n, pair % n
-        df = np.bincount(term, minlength=len(self.terms))
+        df = whole_set.frequencies(self.terms)
         length = np.bincount(item, tf, n)
-        idf = np.log(1 + (len(words) - df + 0.5) / (df + 0.5))
-        score = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / max(length.mean(), 1e-9)))
+        idf = np.log(1 + (whole_set.items - df + 0.5) / (df + 0.5))
+        score = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / max(whole_set.mean, 1e-9)))
         score /= np.bincount(item, score, n)[item]
         self.offsets = np.searchsorted(term, np.arange(len(self.terms) + 1))
         self.term, self.item, self.score = term, item, score
@@ -223,11 +241,38 @@ def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text", a
     """The indexes of the benchmark's shards, one at a time."""
     answer = items[answer_col].cast("string") if answer_col else F.lit(None).cast("string")
     plain = items.select(items[id_col].alias("id"), items[text_col].cast("string").alias("text"), answer.alias("answer")).where("text is not null")
-    shards = max(1, -(-2 * plain.count() // shard_items)) if plain.count() > shard_items else 1
-    numbered = plain.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)))
+    n = plain.count()
+    if n <= shard_items:
+        yield Index(_items(plain.collect()))
+        return
+    shards = -(-2 * n // shard_items)
+    numbered = cut_lineage(plain.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards))))
+
+    def words(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [np.concatenate(_of([*(parts(t) if a is None else (t, a))])) for t, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(np.unique(w)) for w in found])]), pa.int32())
+            terms = np.concatenate([*(np.unique(w) for w in found), np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array([len(w) for w in found], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(terms))], names=["shard", "size", "terms"])
+
+    sized = cut_lineage(map_arrow(numbered.select("text", "answer", "shard"), words, "shard long, size long, terms array<long>"))
+    total = sized.where("size > 0").agg(F.count("*"), F.avg("size"), F.max("size")).first()
+    terms = sized.select("shard", F.explode("terms").alias("term"))
+    df = cut_lineage(terms.groupBy("term").agg(F.count("*").alias("df")))
     for k in range(shards):
-        rows = numbered.where(F.col("shard") == k).orderBy("id", "text").collect()  # about half of shard_items
-        yield Index([(r["id"], r["text"], r["answer"]) if r["answer"] is not None else (r["id"], *parts(r["text"])) for r in rows])
+        own = terms.where(F.col("shard") == k).select("term").distinct().join(df, "term").toArrow()  # the terms of one shard
+        t, f = own["term"].to_numpy().astype(np.int64).view(np.uint64), own["df"].to_numpy()
+        order = np.argsort(t)
+        rows = numbered.where(F.col("shard") == k).collect()  # about half of shard_items
+        yield Index(_items(rows), whole_set=Statistics(total[0], total[1] or 0.0, total[2] or 1, t[order], f[order]))
+
+
+def _items(rows) -> list[tuple[object, str, str]]:
+    """(id, question, answer) of rows (id, text, answer), in the order of ids and texts."""
+    made = [(r["id"], *(parts(r["text"]) if r["answer"] is None else (r["text"], r["answer"]))) for r in rows]
+    return sorted(made, key=lambda x: (x[0] is not None, x[0] or 0, x[1:]))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None, shard_items: int = SHARD_ITEMS) -> DataFrame:
