@@ -2,44 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from eventloom.plans.shipping import ship
-
-CHECKPOINT_DIR = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's own, or a new one where none is set.
-
-    A cluster names its folder in ``spark.checkpoint.dir``; only a session without
-    that setting (tests, a laptop) gets a temporary folder.
-    """
-    sc = spark.sparkContext
-    folder = spark.conf.get(CHECKPOINT_DIR, None) or sc.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="eventloom-checkpoints-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
-    return folder
-
+from eventloom.plans.storage import shared_folder
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder; later reads survive lost executors."""
-    shared_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as Parquet in the shared folder: columnar, so better for wide rows."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
