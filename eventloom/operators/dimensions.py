@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.plans.storage import cut
+
 #: A dimension of more rows than this isn't broadcast.
 MAX_BROADCAST_ROWS = 100_000
 
 
 def small(dim: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``dim`` with a broadcast hint if it has at most ``most`` rows, else as it is."""
-    return F.broadcast(dim) if dim.limit(most + 1).count() <= most else dim
+    """``dim``, computed once; with a broadcast hint if it has at most ``most`` rows."""
+    dim = cut(dim)
+    return F.broadcast(dim) if dim.count() <= most else dim
 
 
 def schema_lookup(envelopes: DataFrame, schemas: DataFrame, columns: list[str]) -> DataFrame:
@@ -25,7 +28,8 @@ def schema_lookup(envelopes: DataFrame, schemas: DataFrame, columns: list[str])
 def split_by_lookup(rows: DataFrame, dim: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
     """(rows with the dimension's columns, rows that it doesn't know)."""
     d = small(dim)
-    return rows.join(d, on), rows.join(d.select(on), on, "left_anti")
+    keys = d.select(on)
+    return rows.join(d, on), rows.join(keys, on, "left_anti")
 
 
 def subscribed(envelopes: DataFrame, subscribers: list[dict]) -> DataFrame:

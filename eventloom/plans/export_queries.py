@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.functions import config, filters
-from eventloom.functions import text as tx
-from eventloom.functions.envelope import CLASSES, ENV_SQL, KINDS, METRICS, TIERS, labels_text, otlp_severity, tier_name
-from eventloom.operators import dimensions, exports, governance, metrics, records, scopes, spans
+from eventloom.functions.envelope import ENV_SQL, labels_text
+from eventloom.operators import dimensions, exports, metrics, records, spans
 from eventloom.plans.event_queries import env, event_query, table
 from eventloom.plans.registry import query
 from eventloom.plans.storage import shared_path
 from eventloom.sinks import tables
-from eventloom.sources import ndjson, schemas
+from eventloom.sources import ndjson, schemas, spool
 
 # Projections.
 
@@ -341,3 +339,14 @@ def closed(e: DataFrame) -> DataFrame:
     opened = e.select("event_id", "span_id", "trace_id", "ts_ns", F.col("labels")["event_type"].alias("name"), F.col("service").alias("target"))
     ends = e.where("k >= 10").select("span_id", (F.col("ts_ns") + F.col("k") * 1000).alias("closed_ns"))
     return exports.closed_spans(opened, ends).select("event_id", "full_name", "sev", "ts_ns", "latency_ns", labels_text(F.col("labels")).alias("labels"), "trace_id")
+
+
+@query("sc08_spool_listing", ENV_SQL + "SELECT service || '-' || region AS batch, service || ':' || count(*) AS payload FROM env WHERE NOT (service = 'api' AND region = '2') GROUP BY service, region")
+def spool_listing(spark: SparkSession, d: str) -> DataFrame:
+    """Batches from a spool; the one whose file was cut off is left out."""
+    at = shared_path(spark, "spool")
+    n = env(spark, d).groupBy("service", F.col("labels")["region"].alias("region")).agg(F.count("*").alias("n"))
+    text = spool.sealed(F.concat_ws(":", "service", F.col("n").cast("string")))
+    broken = F.when((F.col("service") == "api") & (F.col("region") == "2"), F.expr("substring(text, 1, length(text) - 1)")).otherwise(F.col("text"))
+    n.select(F.concat_ws("-", "service", "region").alias("batch"), text.alias("text"), "service", "region").withColumn("text", broken).select("batch", "text").write.partitionBy("batch").text(at)
+    return spool.listing(spark, at).select(F.regexp_extract("path", "/batch=([^/]*)/", 1).alias("batch"), "payload")

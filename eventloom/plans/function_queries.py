@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import config, filters, wire
 from eventloom.functions import text as tx
-from eventloom.functions.envelope import CLASSES, ENV_SQL, KINDS, METRICS, TIERS, labels_text, otlp_severity, tier_name
+from eventloom.functions.envelope import CLASSES, KINDS, METRICS, labels_text, otlp_severity, tier_name
 from eventloom.operators import dimensions, exports, governance, metrics, records, scopes
 from eventloom.plans.event_queries import env, event_query, table
 from eventloom.plans.registry import query
@@ -126,6 +126,16 @@ def crc(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(h, wire.crc32c(bytes.fromhex(h))) for h, _ in _CRC], "data string, crc long")
 
 
+#: The first eight bytes of BLAKE3's published digests of no bytes, and of one zero byte.
+_DIGESTS = {"": "af1349b9f5f9a1a6", "\x00": "2d3adedff11b61f1"}
+
+
+@query("fn20_schema_hashes", "SELECT * FROM (VALUES " + ", ".join(f"({len(k)}, '{v}')" for k, v in _DIGESTS.items()) + ") t(size, digest)")
+def schema_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of schemas are digests' first eight bytes as a little-endian number."""
+    return spark.createDataFrame([(len(k), wire.id64(k).to_bytes(8, "little").hex()) for k in _DIGESTS], "size int, digest string")
+
+
 @event_query("fn25_redaction", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'User_Token=[REDACTED:bridge_pattern]' WHEN 1 THEN 'my-api-key-2=[REDACTED:bridge_pattern]' ELSE 'color=' || service END || ',region=' || region AS fields FROM env")
 def redaction(e: DataFrame) -> DataFrame:
     name = F.when(F.col("event_id") % 3 == 0, "User_Token").when(F.col("event_id") % 3 == 1, "my-api-key-2").otherwise("color")
