@@ -48,9 +48,29 @@ def row_slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """``mapInArrow`` with this package at hand in the workers."""
+    """``mapInArrow`` with this package at hand in the workers, which give memory back after each task."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def lean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(lean, schema)
+
+
+def give_back() -> None:
+    """Return what the task no longer uses to the system: a worker lives on, idle, beside the JVM."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it trims by itself or not at all
+        pass
 
 
 def map_texts(df: DataFrame, text: str, keep: list[str], fields: list, start) -> DataFrame:
