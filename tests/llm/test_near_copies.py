@@ -107,3 +107,29 @@ def test_the_frequent_list_is_bounded(spark, monkeypatch):
         monkeypatch.setattr(near_copies, "FREQUENT", most)
         keys, counts = near_copies._frequent(df, 5, Fraction(4, 5), 12)
         assert len(keys) <= most and bool(len(keys)) == expected and all(counts >= 12)
+
+
+def test_a_large_group_emits_few_pairs(spark, monkeypatch):
+    """Near copies of one text with 0 to 12 words changed: hundreds of sets under each key."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    base = [rng.choice(words) for _ in range(150)]
+    rows = []
+    for i in range(300):
+        other = list(base)
+        for _ in range(rng.randrange(0, 13)):
+            other[rng.randrange(len(other))] = rng.choice(words)
+        rows.append((i, " ".join(other)))
+    emitted = []
+    made = near_copies._pairs
+
+    def counted(*a):
+        pairs = made(*a)
+        emitted.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(near_copies, "_pairs", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: c for i, c in least(rows).items() if i != c}
+    assert {r.id: r.component for r in near_copies.near_copies(df).collect()} == want
+    assert sum(emitted) < 300 * 299 / 2 / 3
