@@ -33,7 +33,6 @@ from bisect import bisect_left
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from eventloom.llm import vectext as vt
 from eventloom.llm.common import cut_lineage, map_arrow, row_slices
