@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from eventloom.functions import config, filters, wire
 from eventloom.functions import text as tx
 from eventloom.functions.envelope import CLASSES, KINDS, METRICS, labels_text, otlp_severity, tier_name
-from eventloom.operators import dimensions, exports, governance, metrics, records, scopes
-from eventloom.plans.event_queries import env, event_query, table
+from eventloom.operators import dimensions, exports, governance, records, scopes
+from eventloom.plans.event_queries import event_query, table
 from eventloom.plans.registry import query
 from eventloom.sinks import tables
 from eventloom.sources import schemas

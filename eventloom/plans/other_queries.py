@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from eventloom.functions import text as tx
 from eventloom.functions import wire
 from eventloom.functions.envelope import ENV_SQL, TIERS, labels_text
-from eventloom.operators import governance, metrics, sampling, scopes
+from eventloom.operators import governance, sampling, scopes
 from eventloom.plans.event_queries import env, table
 from eventloom.plans.registry import query
 from eventloom.plans.storage import drained, shared_path
