@@ -26,6 +26,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark, df: DataFrame) -> None:
+    """Delete the folders that ``df``, made by ``written``, is read from; nothing may read it any more."""
+    root = shared_folder(spark)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getParent().getName() == root.rsplit("/", 1)[-1]:
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_name(taken: list[str], wish: str) -> str:
     """``wish``, with underscores added until it clashes with no name in ``taken``."""
     have = {x.lower() for x in taken}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eventloom.llm import decontam, html_render, langid, line_dedup, lm_score, packing, pii, quality, simhash, toxicity
+from eventloom.llm import decontam, html_render, langid, line_dedup, lm_score, packing, pii, product_codes, quality, simhash, toxicity
 
 #: Limits of an instruction sequence: tokens, turns, and tokens that bear loss.
 TOKENS, SEGMENTS, LOSS = 2048, 16, 1024
@@ -104,6 +104,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).withColumnRenamed("accepted", "kept")
 
 
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = product_codes.compressed(table(spark, sf_dir, "embeddings"))
+    hexed, digest = F.lower(F.hex("code")).alias("code"), F.lit(coded.digest()).alias("codebooks_sha256")
+    return product_codes.label_errors(coded.rows).select(F.col("id").alias("vec_id"), hexed, "error", "label_error", digest)
+
+
+ORACLE["op13_vector_codes"] = product_codes.ORACLE
+
+
 @query
 def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of rendered pages, from their texts, their markup's language and their addresses."""
