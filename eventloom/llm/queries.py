@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eventloom.llm import decontam, html_render, langid, line_dedup, lm_score, packing, pii, product_codes, quality, simhash, toxicity
+from eventloom.llm import collocations, decontam, html_render, langid, line_dedup, lm_score, packing, pii, prefix_hash, product_codes, quality, simhash, toxicity
 
 #: Limits of an instruction sequence: tokens, turns, and tokens that bear loss.
 TOKENS, SEGMENTS, LOSS = 2048, 16, 1024
@@ -104,6 +104,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).withColumnRenamed("accepted", "kept")
 
 
+@query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_phrase_collocations"] = collocations.ORACLE
+
+
+@query
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_hash.edited(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = product_codes.compressed(table(spark, sf_dir, "embeddings"))
