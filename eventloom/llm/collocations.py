@@ -3,14 +3,18 @@
 Texts become runs of words that no separator breaks.  A task gathers words until its shard
 is full, numbers them by value and sorts all their suffixes by prefix doubling in NumPy;
 intervals of the longest-common-prefix array are the shard's distinct n-grams with their
-counts, and these are summed over shards by key.
+counts, and these are summed over a task's shards and then over tasks by key.
 
 Counts are exact and come in three passes, each narrowed by the one before: words; pairs of
-words that occur ``least`` times; then all longer n-grams inside runs of such pairs.  A phrase
+words that may occur ``least`` times; then all n-grams inside runs of such pairs.  A phrase
 is as frequent as its parts at most, so no phrase of ``least`` occurrences is lost.  What a
 pass may skip is told by a bit map of the frequent keys: ``FILTER_BITS`` bits (16 MiB at
 any input), built by Spark's bitmap aggregates and broadcast.  A key whose bit another one has
 set is counted for nothing and falls away in the sum, so the map changes cost, never counts.
+What is shuffled are arrays, a row for each task and range of keys (as many ranges as the
+session has shuffle partitions), never a row a phrase.  The pass over pairs only says which
+may be frequent, so it sends ``PAIR_BITS``-bit keys as packed differences with counts up to
+``least``.
 
 A word's key is 64 bits of its hash within its language, and a phrase's key is its words'
 keys in a row.  Two words of one language share a key with a probability of 2**-64 a pair.
@@ -36,15 +40,20 @@ from pyspark.sql import functions as F
 
 from eventloom.llm import vectext as vt
 from eventloom.llm.common import MAX_BROADCAST_IDS, cut_lineage, dropped, map_arrow, row_slices, written
+from eventloom.llm.lm_score import packed, packed_keys, unpacked, unpacked_keys
 
 LEAST, LONGEST, SCALE, REPORT = 100, 5, 1000, 2000
 #: Bits of the map of frequent keys: 16 MiB.
 FILTER_BITS = 27
+#: Bits of a pair's key while pairs are narrowed down.
+PAIR_BITS = 48
 #: Words of a shard (its arrays take some 100 bytes a word).  Phrases over a border between
 #: two shards of one text are counted one by one.
-SHARD = 1 << 20
+SHARD = 1 << 19
 #: Distinct words that a task counts before it sends them on.
-HELD_WORDS = 500_000
+HELD_WORDS = 300_000
+#: Distinct pairs, or phrases, that a task adds up before it sends them on.
+HELD_KEYS = 2_000_000
 #: Parts of a language that are ranked apart first.
 SALTS = 64
 #: Bytes of text that are cut into words at once.
@@ -220,13 +229,14 @@ def _counted_words(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, run, "lang string, word string, w long, n long")
 
 
-def _counted_phrases(docs: DataFrame, words, pairs, shortest: int, longest: int) -> DataFrame:
-    """(ws, n): n-grams by shard, over words and pairs of words whose bits are set."""
+def _in_shards(docs: DataFrame, words, pairs, shortest: int, longest: int, start, schema: str) -> DataFrame:
+    """What a task's sink, made by ``start``, gives for the n-grams of its shards, over words and pairs whose bits are set."""
 
     def run(batches):
         frequent = np.frombuffer(words.value, np.uint8)
         tied = None if pairs is None else np.frombuffer(pairs.value, np.uint8)
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        sink = start()
 
         def tied_places(keys, heads):
             links = np.zeros(len(keys), bool)
@@ -234,23 +244,20 @@ def _counted_phrases(docs: DataFrame, words, pairs, shortest: int, longest: int)
             links[:-1] = ~heads[1:] & good[:-1] & good[1:]
             if tied is not None:
                 at = np.flatnonzero(links)
-                links[at] = _has(tied, _pair_bits(keys[at], keys[at + 1]))
+                links[at] = _has(tied, _pair_keys(keys[at], keys[at + 1]))
             return _runs_left(links)
 
         def out(keys, heads):
             for n, places, counts in ngrams(keys, tied_places(keys, heads), shortest, longest):
-                for k in range(0, len(places), 1 << 16):
-                    at = places[k : k + (1 << 16)]
-                    ws = pa.array(np.stack([keys[at + i] for i in range(n)], axis=1).view(np.int64).ravel())
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * n, pa.int32()), ws)
-                    yield pa.RecordBatch.from_arrays([lists, pa.array(counts[k : k + (1 << 16)].astype(np.int64))], names=["ws", "n"])
+                yield from sink.add(keys, n, places, counts)
 
         def over_border(keys, heads, border):
-            """N-grams that begin before ``border`` and end after it, one by one."""
+            """N-grams that begin before ``border`` and end after it."""
             left = tied_places(keys, heads)
-            rows = [keys[i : i + n].view(np.int64).tolist() for i in range(border) for n in range(max(shortest, border - i + 1), longest + 1) if left[i] >= n]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int64())), pa.array([1] * len(rows), pa.int64())], names=["ws", "n"])
+            for n in range(shortest, longest + 1):
+                at = [i for i in range(max(0, border - n + 1), border) if left[i] >= n]
+                if at:
+                    yield from sink.add(keys, n, np.array(at), np.ones(len(at), np.int64))
 
         def flush():
             keys, heads = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -273,8 +280,130 @@ def _counted_phrases(docs: DataFrame, words, pairs, shortest: int, longest: int)
                     n = 0
         if held:
             yield from flush()
+        yield from sink.close()
+
+    return map_arrow(docs, run, schema)
+
+
+class _Pairs:
+    """A task's pairs of words: sorted keys and counts up to ``least``, a row for each range of keys."""
+
+    SCHEMA = "range int, keys binary, counts binary"
+
+    def __init__(self, ranges: int, least: int) -> None:
+        self.ranges, self.least = ranges, least
+        self.found = vt.Counter(1)
+
+    def add(self, keys, n, places, counts):
+        self.found.add(_pair_keys(keys[places], keys[places + 1]), [counts])
+        if len(self.found) > HELD_KEYS:
+            yield from self.close()
+
+    def close(self):
+        k, (c,) = self.found.take()
+        cuts = np.searchsorted(_range_of(k, self.ranges), np.arange(self.ranges + 1, dtype=np.uint64)).tolist()
+        parts = [(i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+        if parts:
+            rows = [[i for i, _, _ in parts], [packed_keys(k[a:b]) for _, a, b in parts], [packed(np.minimum(c[a:b], self.least)) for _, a, b in parts]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["range", "keys", "counts"])
+
+
+class _Phrases:
+    """A task's n-grams as words' keys, and their counts: a row for each length and range of hashes."""
+
+    SCHEMA = "range int, size int, words binary, counts binary"
+
+    def __init__(self, ranges: int) -> None:
+        self.ranges = ranges
+        self.held = _Summed()
+
+    def add(self, keys, n, places, counts):
+        self.held.add(np.stack([keys[places + i] for i in range(n)]), counts)
+        if self.held.rows > HELD_KEYS:
+            yield from self.close()
+
+    def close(self):
+        rows = []
+        for n, ws, c in self.held.take():
+            h = ws[0]
+            for w in ws[1:]:
+                h = vt.mix(h * np.uint64(3) + w)
+            at = (h >> np.uint64(32)) * np.uint64(self.ranges) >> np.uint64(32)
+            order = np.argsort(at, kind="stable")
+            cuts = np.searchsorted(at[order], np.arange(self.ranges + 1, dtype=np.uint64)).tolist()
+            rows += [(i, n, ws[:, order[lo:hi]].tobytes(), packed(c[order[lo:hi]])) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) if lo < hi]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["range", "size", "words", "counts"])
+
+
+class _Summed:
+    """Counts by n-gram, for each length: columns of words' keys, summed now and then."""
+
+    def __init__(self) -> None:
+        self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.rows, self.most = 0, 1 << 20
+
+    def add(self, ws: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.setdefault(len(ws), []).append((ws, counts))
+        self.rows += len(counts)
+        if self.rows > self.most:
+            kept = list(self.take())
+            for _, w, c in kept:
+                self.parts[len(w)] = [(w, c)]
+                self.rows += len(c)
+            self.most = max(1 << 20, 2 * self.rows)
+
+    def take(self):
+        """(n, words, counts) of each length; afterwards nothing is held."""
+        for n, parts in sorted(self.parts.items()):
+            ws, c = np.concatenate([w for w, _ in parts], axis=1), np.concatenate([c for _, c in parts])
+            order = np.lexsort(ws[::-1])
+            ws = ws[:, order]
+            heads = np.flatnonzero(np.append(True, (ws[:, 1:] != ws[:, :-1]).any(axis=0)))[: len(c)]
+            yield n, ws[:, heads], np.add.reduceat(c[order], heads) if len(c) else c
+        self.parts, self.rows = {}, 0
+
+
+def _counted_phrases(docs: DataFrame, words, pairs, longest: int, least: int, ranges: int) -> DataFrame:
+    """(ws, f): the n-grams of two words and more that occur ``least`` times."""
+
+    def merged(batches):
+        found = _Summed()
+        for batch in batches:
+            for n, data, counts in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                ws = np.frombuffer(data, np.uint64).reshape(n, -1)
+                found.add(ws, unpacked(counts, ws.shape[1], 1)[0].astype(np.int64))
+        for n, ws, c in found.take():
+            ws, c = ws[:, c >= least], c[c >= least]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1) * n, pa.int32()), pa.array(np.ascontiguousarray(ws.T).view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([lists, pa.array(c)], names=["ws", "f"])
+
+    sent = _in_shards(docs, words, pairs, 2, longest, lambda: _Phrases(ranges), _Phrases.SCHEMA)
+    return map_arrow(sent.repartitionById(ranges, F.col("range")), merged, "ws array<long>, f long")
+
+
+def _frequent_pairs(docs: DataFrame, words, least: int, ranges: int) -> DataFrame:
+    """(k): keys of the pairs of words that occur ``least`` times, with others that share such a key."""
+
+    def merged(batches):
+        found = vt.Counter(1)
+        for batch in batches:
+            for keys, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                k = unpacked_keys(keys)
+                found.add(k, [unpacked(counts, len(k), 1)[0]])
+        k, (c,) = found.take()
+        yield pa.RecordBatch.from_arrays([pa.array(k[c >= least].view(np.int64))], names=["k"])
 
-    return map_arrow(docs, run, "ws array<long>, n long")
+    sent = _in_shards(docs, words, None, 2, 2, lambda: _Pairs(ranges, least), _Pairs.SCHEMA)
+    return map_arrow(sent.repartitionById(ranges, F.col("range")), merged, "k long")
+
+
+def _pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return vt.mix(a * np.uint64(0x9E3779B97F4A7C15) + b) >> np.uint64(64 - PAIR_BITS)
+
+
+def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    return (keys >> np.uint64(PAIR_BITS - 32)) * np.uint64(ranges) >> np.uint64(32)
 
 
 def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -282,10 +411,6 @@ def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _pair_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a >> np.uint64(17)) ^ b
-
-
 def _bit_map(spark, keys) -> object:
     """A broadcast of 2**FILTER_BITS bits: those of the low bits of column ``k`` of ``keys``."""
     at = keys.select((F.col("k").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) + 1).alias("at"))
@@ -306,11 +431,9 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     words = cut_lineage(counted.where(F.col("f") >= least))
     dropped(spark, counted)
     frequent = _bit_map(spark, words.select(F.col("w").alias("k")))
-    summed = lambda rows: cut_lineage(rows.groupBy("ws").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
-    phrases = pairs = summed(_counted_phrases(texts, frequent, None, 2, 2))
-    if longest > 2:
-        tied = _bit_map(spark, pairs.select(F.shiftrightunsigned(F.col("ws")[0], 17).bitwiseXOR(F.col("ws")[1]).alias("k")))
-        phrases = pairs.unionByName(summed(_counted_phrases(texts, frequent, tied, 3, longest)))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tied = _bit_map(spark, _frequent_pairs(texts, frequent, least, ranges))
+    phrases = cut_lineage(_counted_phrases(texts, frequent, tied, longest, least, ranges))
     return totals, words, phrases
 
 

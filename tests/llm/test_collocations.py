@@ -57,6 +57,7 @@ def test_shards_do_not_change_counts(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
     monkeypatch.setattr(co, "SHARD", 37)
     monkeypatch.setattr(co, "HELD_WORDS", 3)
+    monkeypatch.setattr(co, "HELD_KEYS", 5)
     assert sorted(tuple(r) for r in co.collocations(docs, least=3).collect()) == expected(rows, 3)
 
 
