@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.operators.scan import numbered
 from eventloom.plans.storage import cut
 
 #: A dimension of more rows than this isn't broadcast.
@@ -35,40 +36,37 @@ def split_by_lookup(rows: DataFrame, dim: DataFrame, on: str) -> tuple[DataFrame
 def subscribed(envelopes: DataFrame, subscribers: list[dict]) -> DataFrame:
     """One row per envelope and subscriber whose labels and least severity match.
 
-    A subscriber is a dict of name, sev_rank and labels; all are tested in one pass.
+    A subscriber is a dict of name, sev_rank and labels; they are looked up in an index
+    (``subscriptions``).
     """
-    hits = []
-    for s in subscribers:
-        match = F.col("sev_rank") >= s["sev_rank"]
-        for k, v in s["labels"].items():
-            match &= F.coalesce(F.col("labels")[k] == v, F.lit(False))
-        hits.append(F.when(match, F.lit(s["name"])))
-    return envelopes.withColumn("subscriber", F.explode(F.array_compact(F.array(*hits))))
+    from eventloom.operators.subscriptions import matched
+
+    table = envelopes.sparkSession.createDataFrame([(s["name"], s["sev_rank"], s["labels"]) for s in subscribers], "name string, sev_rank int, labels map<string,string>")
+    return matched(envelopes, table)
 
 
 def kept_subscribers(subscribers: DataFrame, key: str, now_ns: int, idle_ns: int, most: int, most_per_key: int) -> DataFrame:
     """``subscribers`` (id, since_ns, last_ns, ..) with ``state``: idle, over a cap (the later ones), or live.
 
-    A table of sessions, so small: idle ones go first, then the caps count the rest.
+    Idle ones go first, then the caps count the rest; both counts are prefix scans.
     """
     live = F.col("last_ns") >= now_ns - idle_ns
     order = ["since_ns", "id"]
-    own = F.row_number().over(Window.partitionBy(key, live).orderBy(*order))
-    fits = live & (own <= most_per_key)
-    marked = subscribers.withColumn("_fits", fits)
-    nth = F.row_number().over(Window.partitionBy("_fits").orderBy(*order))
-    state = F.when(~live, "idle").when(~F.col("_fits"), "over key cap").when(nth > most, "over cap").otherwise("live")
-    return marked.withColumn("state", state).drop("_fits")
+    own = numbered(subscribers.withColumn("_live", live), [key, "_live"], order, "_own")
+    marked = numbered(own.withColumn("_fits", F.col("_live") & (F.col("_own") <= most_per_key)), ["_fits"], order, "_nth")
+    state = F.when(~F.col("_live"), "idle").when(~F.col("_fits"), "over key cap").when(F.col("_nth") > most, "over cap").otherwise("live")
+    return marked.withColumn("state", state).select(*subscribers.columns, "state")
 
 
-def registrations(events: DataFrame, callsite: str, ts: str, tie: str, every: int = 10_000, after_ns: int = 600 * 10**9) -> DataFrame:
+def registrations(events: DataFrame, callsite: str, ts: str, tie: str, every: int = 10_000, after_ns: int = 600 * 10**9, parts: int | None = None, least: int | None = None) -> DataFrame:
     """The events at which a callsite is announced: its first, each ``every``-th after it, and all from ``after_ns`` on.
 
-    Only events of the first ``after_ns`` are counted in order; later ones need no order.
+    Only events of the first ``after_ns`` are counted in order, by a prefix scan that spreads
+    a hot callsite over tasks; later ones need no order.
     """
     first = events.groupBy(F.col(callsite).alias("_of")).agg(F.min(F.struct(ts, tie)).alias("_first"))
+    first = small(first)
     joined = events.join(first, events[callsite] == first["_of"])
     late = F.col(ts) - F.col("_first")[ts] >= after_ns
-    nth = F.row_number().over(Window.partitionBy(callsite).orderBy(ts, tie))
-    early = joined.where(~late).withColumn("_nth", nth).where(F.pmod(F.col("_nth") - 1, F.lit(every)) == 0).drop("_nth")
+    early = numbered(joined.where(~late), [callsite], [ts, tie], "_nth", parts, least).where(F.pmod(F.col("_nth") - 1, F.lit(every)) == 0).drop("_nth")
     return early.unionByName(joined.where(late)).drop("_of", "_first")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.text import whole
+from eventloom.operators.dimensions import small
 from eventloom.operators.records import log_record
 from eventloom.plans.storage import cut
 
@@ -36,6 +37,20 @@ def with_resource(envelopes: DataFrame, resource: dict[str, str]) -> DataFrame:
     return envelopes.withColumns({**slots, "attrs": attrs})
 
 
+def with_resources(envelopes: DataFrame, sender: str, resources: dict) -> DataFrame:
+    """``envelopes`` with their sender's resource on each row, in one pass: see ``with_resource``.
+
+    ``resources``: a resource for each value of the column ``sender``; rows of other senders
+    have no resource.
+    """
+    slot = lambda r, key: (_ARCHES.get(r[key], r[key]) if key == "host.arch" else r[key]) if r.get(key) else None
+    rows = [(s, *(slot(r, key) for key in RESOURCE_SLOTS), {k: v for k, v in r.items() if k not in RESOURCE_SLOTS}) for s, r in resources.items()]
+    kinds = [f"_sender {envelopes.schema[sender].dataType.simpleString()}", *(f"`{name}` string" for name in RESOURCE_SLOTS.values()), "attrs map<string,string>"]
+    table = small(envelopes.sparkSession.createDataFrame(rows, ", ".join(kinds)))
+    joined = envelopes.join(table, F.col(sender) == F.col("_sender"), "left").drop("_sender")
+    return joined.withColumn("attrs", F.coalesce("attrs", F.create_map().cast("map<string,string>")))
+
+
 def projected(rows: DataFrame, schema) -> DataFrame:
     """``rows`` of one event's typed fields with labels from its LABEL fields and its id fields lifted; empty values are left out."""
     mine = [f.name for f in schema.fields if f.kind == "LABEL"]
@@ -173,17 +188,21 @@ def closed_spans(opened: DataFrame, closed: DataFrame) -> DataFrame:
 def root_traces(spans: DataFrame) -> DataFrame:
     """``spans`` (span_id, parent_span_id, own_trace) with ``trace_id``: that of the outermost known ancestor.
 
-    Each round doubles the height that is looked up, so a tree of depth n takes log n joins;
-    span ids must be unique.
+    Each round doubles the height that is looked up, so a tree of depth n takes log n joins.
+    A span that is or has an ancestor in a cycle of parents keeps its own trace: after as many
+    rounds as reach over all spans, what still climbs goes round.  Rows that repeat a span id
+    are all kept and count as one span, that of the least parent (null first) and then of the least trace.
     """
-    state = cut(spans.select("span_id", F.col("parent_span_id").alias("up"), F.col("own_trace").alias("trace")))
-    while True:
+    one = spans.where(F.col("span_id").isNotNull()).groupBy("span_id").agg(F.min(F.struct("parent_span_id", "own_trace")).alias("s"))
+    state = cut(one.select("span_id", F.col("s.parent_span_id").alias("up"), F.col("s.own_trace").alias("trace"), F.col("s.own_trace").alias("own")))
+    for _ in range(max(state.count(), 1).bit_length() + 1):
         above = state.select(F.col("span_id").alias("at"), F.col("up").alias("next"), F.col("trace").alias("inherited"))
         joined = state.join(above, state.up == above["at"], "left")
-        state = cut(joined.select("span_id", F.col("next").alias("up"), F.coalesce("inherited", "trace").alias("trace")))
+        state = cut(joined.select("span_id", F.col("next").alias("up"), F.coalesce("inherited", "trace").alias("trace"), "own"))
         if state.where("up is not null").isEmpty():
             break
-    return spans.join(state.select("span_id", F.col("trace").alias("trace_id")), "span_id")
+    found = state.select(F.col("span_id").alias("of"), F.when(F.col("up").isNull(), F.col("trace")).otherwise(F.col("own")).alias("trace_id"))
+    return spans.join(found, spans.span_id == found["of"], "left").select(*spans.columns, F.coalesce("trace_id", "own_trace").alias("trace_id"))
 
 
 def call_events(calls: DataFrame, entered: bool = False) -> DataFrame:

@@ -1,14 +1,10 @@
-"""Scopes: inherited fields, correlation, error tails, and per-key ordered folds."""
+"""Scopes: inherited fields, correlation, error tails, first rows and thinned repeats of a key."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.plans.shipping import ship
-
 
 def innermost(frames: DataFrame, scope: str, depth: str, columns: list[str]) -> DataFrame:
     """(scope, columns): for each column the value of the deepest frame that sets it."""
@@ -51,64 +47,3 @@ def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def thinned(counts: Column) -> Column:
     """True at 1, 2, 4, 8...: which repeats of a notice are passed on."""
     return (counts > 0) & (counts.bitwiseAND(counts - 1) == 0)
-
-
-def _bucket(rate_per_s: float, burst: float) -> Callable:
-    def start(ts: int):
-        return [float(burst), ts]
-
-    def step(state: list, ts: int) -> bool:
-        state[0] = min(burst, state[0] + (ts - state[1]) / 1e9 * rate_per_s)
-        state[1] = ts
-        if state[0] < 1:
-            return False
-        state[0] -= 1
-        return True
-
-    return start, step
-
-
-def _quiet(gap_ns: int) -> Callable:
-    def start(ts: int):
-        return [None]
-
-    def step(state: list, ts: int) -> bool:
-        if state[0] is not None and ts - state[0] < gap_ns:
-            return False
-        state[0] = ts
-        return True
-
-    return start, step
-
-
-def _folded(df: DataFrame, key: str, ts: str, tie: str, rule) -> DataFrame:
-    """``df`` with ``admitted`` from a fold over each key's rows in time order.
-
-    Rows stream through in order with one small state, so a hot key needs no memory.
-    """
-    start, step = rule
-
-    def run(batches):
-        import pyarrow as pa
-
-        held, state = object(), None
-        for b in batches:
-            out = []
-            for k, t in zip(b.column(key).to_pylist(), b.column(ts).to_pylist(), strict=True):
-                if k != held:
-                    held, state = k, start(t)
-                out.append(step(state, t))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.bool_())], names=[*b.schema.names, "admitted"])
-
-    ship(df.sparkSession)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.repartition(key).sortWithinPartitions(key, ts, tie).mapInArrow(run, f"{kinds}, admitted boolean")
-
-
-def token_bucket(df: DataFrame, key: str, ts: str = "ts_ns", tie: str = "event_id", rate_per_s: float = 1.0, burst: float = 5.0) -> DataFrame:
-    return _folded(df, key, ts, tie, _bucket(rate_per_s, burst))
-
-
-def debounced(df: DataFrame, key: str, ts: str = "ts_ns", tie: str = "event_id", gap_ms: int = 200) -> DataFrame:
-    """Admits a row only ``gap_ms`` or more after the last row that was admitted."""
-    return _folded(df, key, ts, tie, _quiet(gap_ms * 10**6))

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.operators.scan import summed_before
 
-def paired(events: DataFrame, key: str, started: Column, completed: Column, timeout_ns: int, ts: str = "ts_ns", tie: str = "event_id") -> DataFrame:
+
+def paired(events: DataFrame, key: str, started: Column, completed: Column, timeout_ns: int, ts: str = "ts_ns", tie: str = "event_id", parts: int | None = None, least: int | None = None) -> DataFrame:
     """(key, start_*, end_*, matched) of every run of Started rows up to their Completed.
 
     A later Started overwrites an earlier one and a Completed consumes it, if it is
-    younger than the timeout.  A run without a Completed has null end columns.
+    younger than the timeout.  A run without a Completed has null end columns.  Runs are
+    numbered by a prefix scan (``scan``), so one key with half of all rows is many tasks' work.
     """
-    w = Window.partitionBy(key).orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, -1)
-    marked = events.where(started | completed).withColumn("is_end", completed).withColumn("run", F.count_if("is_end").over(w))
+    marked = summed_before(events.where(started | completed).withColumn("is_end", completed), [key], [ts, tie], F.col("is_end").cast("long"), "run", parts, least)
     at = F.struct(ts, tie)
     runs = marked.groupBy(key, "run").agg(
         F.max(F.when(~F.col("is_end"), at)).alias("s"), F.max(F.when(F.col("is_end"), at)).alias("e")

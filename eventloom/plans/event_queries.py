@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from eventloom.functions import filters
 from eventloom.functions import text as tx
 from eventloom.functions.envelope import ENV_SQL, from_events, labels_text, sev_rank, severity_name
-from eventloom.operators import dimensions, metrics, records, sampling, scopes, spans
+from eventloom.operators import dimensions, limits, metrics, records, sampling, scan, scopes, spans
 from eventloom.plans.registry import query
 from eventloom.sources import ndjson
 
@@ -299,10 +299,8 @@ def once(e: DataFrame) -> DataFrame:
     ", n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts_ns, event_id) AS nth FROM env WHERE sev_rank >= 5) SELECT event_id, user_id, nth FROM n WHERE nth IN (1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096, 8192, 16384, 32768, 65536)",
 )
 def thinned(e: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("ts_ns", "event_id")).cast("long")
-    return e.where("sev_rank >= 5").withColumn("nth", nth).where(scopes.thinned(F.col("nth"))).select("event_id", "user_id", "nth")
+    notices = e.where("sev_rank >= 5").select("event_id", "user_id", "ts_ns")
+    return scan.numbered(notices, ["user_id"], ["ts_ns", "event_id"], "nth").where(scopes.thinned(F.col("nth"))).select("event_id", "user_id", "nth")
 
 
 def _fold_sql(first: str, step: str, state: str) -> str:
@@ -318,12 +316,12 @@ _QUIET_SQL = _fold_sql("ts_ns AS held, true AS admitted", f"CASE WHEN n.ts_ns -
 
 @query_of_env("wn04_token_bucket", _BUCKET_SQL)
 def bucket(e: DataFrame) -> DataFrame:
-    return scopes.token_bucket(e.select("user_id", "ts_ns", "event_id"), "user_id", rate_per_s=1 / 86400, burst=5).where("admitted").select("user_id", "event_id")
+    return limits.token_bucket(e.select("user_id", "ts_ns", "event_id"), "user_id", rate_per_s=1 / 86400, burst=5).where("admitted").select("user_id", "event_id")
 
 
 @query_of_env("wn05_debounce", _QUIET_SQL)
 def debounce(e: DataFrame) -> DataFrame:
-    return scopes.debounced(e.select("user_id", "ts_ns", "event_id"), "user_id", gap_ms=6 * 3600 * 1000).where("admitted").select("user_id", "event_id")
+    return limits.debounced(e.select("user_id", "ts_ns", "event_id"), "user_id", gap_ms=6 * 3600 * 1000).where("admitted").select("user_id", "event_id")
 
 
 _RUNS = f""", marked AS (SELECT *, count(*) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts_ns, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM env WHERE event_type IN ('view', 'purchase')),
@@ -417,8 +415,8 @@ def bridge(e: DataFrame) -> DataFrame:
 @event_query("pj18_interning", "SELECT event_id, full_name, service, (SELECT count(*) FROM (SELECT DISTINCT full_name, service FROM env)) AS n_callsites, dense_rank() OVER (ORDER BY full_name, service) AS callsite FROM env")
 def interning(e: DataFrame) -> DataFrame:
     slim, callsites = records.interned(e.select("event_id", "full_name", "service"), ["full_name", "service"])
-    numbered = callsites.agg(F.array_sort(F.collect_list(F.struct("full_name", "service", "callsite_id"))).alias("every"))  # one row a callsite
-    known = numbered.select(F.size("every").cast("long").alias("n_callsites"), F.posexplode("every").alias("at", "c")).select("c.*", "n_callsites", (F.col("at") + 1).cast("long").alias("callsite"))
+    numbered = scan.numbered(callsites, [], ["full_name", "service"], "callsite")
+    known = numbered.join(F.broadcast(callsites.agg(F.count("*").alias("n_callsites"))), F.lit(True))  # one row
     return dimensions.split_by_lookup(slim, known, "callsite_id")[0].select("event_id", "full_name", "service", "n_callsites", "callsite")
 
 

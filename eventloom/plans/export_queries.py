@@ -47,8 +47,8 @@ def resource_columns(e: DataFrame) -> DataFrame:
 def resource_per_batch(e: DataFrame) -> DataFrame:
     """Each batch has its sender's resource on all of its rows."""
     senders = [{"deployment.environment": "prod", "host.name": "h-0"}, {"deployment.environment": "dev", "host.name": "h-1"}, {"host.name": "h-1", "team": "a"}]
-    made = [exports.with_resource(e.where(F.col("event_id") % 3 == k), r) for k, r in enumerate(senders)]
-    return made[0].unionByName(made[1]).unionByName(made[2]).select("event_id", "environment", "host_name", labels_text(F.col("attrs")).alias("attrs"))
+    made = exports.with_resources(e.withColumn("sender", F.col("event_id") % 3), "sender", dict(enumerate(senders)))
+    return made.select("event_id", "environment", "host_name", labels_text(F.col("attrs")).alias("attrs"))
 
 
 _SHOP = schemas.EventSchema("shop.v1.ObsTyped", fields=(schemas.Field("event_type"), schemas.Field("region_id"), schemas.Field("amount", "ATTRIBUTE"), schemas.Field("trace", "TRACE_ID"), schemas.Field("span", "SPAN_ID")))

@@ -9,6 +9,7 @@ from eventloom.functions import config, filters, wire
 from eventloom.functions import text as tx
 from eventloom.functions.envelope import CLASSES, KINDS, METRICS, labels_text, otlp_severity, tier_name
 from eventloom.operators import dimensions, exports, governance, records, scopes
+from eventloom.operators.scan import numbered
 from eventloom.plans.event_queries import event_query, table
 from eventloom.plans.registry import query
 from eventloom.sinks import tables
@@ -198,11 +199,9 @@ def retention(e: DataFrame) -> DataFrame:
 
 @event_query("sl05_series_order", "SELECT name, labels, row_number() OVER (ORDER BY name, labels) AS place, n FROM (SELECT lower(replace(full_name, '.', '_')) || '_total' AS name, labels_text AS labels, count(*) AS n FROM env GROUP BY ALL)")
 def series_order(e: DataFrame) -> DataFrame:
-    """Series as they are rendered: by name, then by labels (the series of one scrape, so bounded)."""
-    from pyspark.sql import Window
-
+    """Series as they are rendered: by name, then by labels."""
     series = e.groupBy(F.lower(tx.counter_name(F.col("full_name"))).alias("name"), labels_text(F.col("labels")).alias("labels")).agg(F.count("*").alias("n"))
-    return series.withColumn("place", F.row_number().over(Window.orderBy("name", "labels")).cast("long"))
+    return numbered(series, [], ["name", "labels"], "place")
 
 
 _SETS = "base AS (SELECT DISTINCT p_brand AS event FROM part WHERE p_size < 25 AND p_partkey % 3 > 0), head AS (SELECT DISTINCT p_brand AS event FROM part WHERE p_size >= 25 AND p_partkey % 5 > 1)"

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventloom.functions.text import date_hour, payload_column
+from eventloom.operators.scan import summed_before
 
 
 def with_partitions(envelopes: DataFrame) -> DataFrame:
@@ -16,15 +17,21 @@ def with_partitions(envelopes: DataFrame) -> DataFrame:
     return envelopes.withColumns({"date": at["date"], "hour": at["hour"]})
 
 
-def write(envelopes: DataFrame, path: str, by: tuple[str, ...] = ("service", "date"), codec: str = "zstd", mode: str = "append", max_rows: int = 2_000_000) -> None:
+def write(envelopes: DataFrame, path: str, by: tuple[str, ...] = ("service", "date"), codec: str = "zstd", mode: str = "append", max_rows: int = 2_000_000, lookup: tuple[str, ...] = ("trace_id",), max_distinct: int = 100_000) -> None:
     """The envelopes as Parquet under ``service=../date=..``; a row's partition decides its file.
 
-    Rows are dealt by the partition columns and a hash of the span, 8 ways, so that one
-    hot service and day is not one task's work.
+    Rows are rebalanced by the partition columns: Spark cuts a hot service and day into parts
+    of its advisory partition size and packs small ones into one task, a file each.  Columns of
+    ``lookup`` that the rows have get a Bloom filter a row group, so a search for one trace
+    skips the groups without it, where least and greatest values exclude nothing.
     """
-    dealt = with_partitions(envelopes).withColumn("_deal", F.pmod(F.xxhash64("span_id"), F.lit(8)))
-    rows = dealt.repartition(*by, "_deal").sortWithinPartitions(*by, "ts_ns").drop("_deal")
-    rows.write.mode(mode).partitionBy(*by).option("compression", codec).option("maxRecordsPerFile", max_rows).parquet(path)
+    placed = with_partitions(envelopes)
+    rows = placed.hint("rebalance", *(F.col(c) for c in by)).sortWithinPartitions(*by, "ts_ns")
+    out = rows.write.mode(mode).partitionBy(*by).option("compression", codec).option("maxRecordsPerFile", max_rows)
+    for c in lookup:
+        if c in placed.columns:
+            out = out.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.expected.ndv#{c}", str(max_distinct))
+    out.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -110,8 +117,9 @@ def fan_out(puts: list):
 
 def evicted(files: DataFrame, most_bytes: int, by: str = "modified", size: str = "bytes", name: str = "path") -> DataFrame:
     """The files to delete so that the newest of a listing stay under ``most_bytes`` together."""
-    w = Window.orderBy(F.desc(by), F.desc(name)).rowsBetween(Window.unboundedPreceding, 0)  # a listing, so small
-    return files.withColumn("held", F.sum(size).over(w)).where(F.col("held") > most_bytes).drop("held")
+    older = summed_before(files, [], [by, name], F.col(size), "_older")
+    every = files.agg(F.sum(size).alias("_every"))  # one row
+    return older.join(F.broadcast(every), F.col("_every") - F.col("_older") > most_bytes).select(files.columns)
 
 
 def newest(files: DataFrame, most: int, by: str = "modified", name: str = "path") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.envelope import sev_rank, severity_name
 from eventloom.functions.text import duration_ns
+from eventloom.sources import growing
 
 LINE = "ts_ns long, full_name string, sev string, tier string, service string, trace_id string, span_id string, labels map<string,string>, payload string"
 
@@ -24,9 +25,12 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     return parse(spark.read.text(path))
 
 
-def follow(spark: SparkSession, path: str, per_batch: int = 100) -> DataFrame:
-    """A stream of the envelopes in a growing directory of files."""
-    return parse(spark.readStream.schema("value string").option("maxFilesPerTrigger", per_batch).text(path))
+def follow(spark: SparkSession, path: str) -> DataFrame:
+    """A stream of the envelopes in a folder of growing files: new files, and lines that are appended to old ones.
+
+    A file that shrinks is read anew (``growing``).
+    """
+    return parse(growing.lines(spark, path))
 
 
 def query(
