@@ -71,7 +71,7 @@ def test_many_batches_equal_a_fold(spark, tmp_path):
     rows = [(f"k{rng.integers(0, 9)}", int((i + 9) * SECOND + rng.integers(-4, 5) * SECOND), i, "end" if rng.random() < 0.4 else "start") for i in range(240)]
     feed = Feed(spark, tmp_path, _ROWS, lambda s: timers.pairs(s, "key", 20 * SECOND, "30 seconds"))
     for k in range(0, 240, 80):
-        feed.put(rows[k : k + 60])
+        feed.put(rows[k : k + 80])
     got = feed.put([("z", 10**6 * SECOND, 999, "start")])
     assert sorted(map(repr, got)) == sorted(map(repr, _fold(rows, 20 * SECOND)))
 
