@@ -15,7 +15,11 @@ read as far as it goes and never fails; a tag that the page's end cuts off is dr
 what it swallowed, as browsers do.  Only layout has bounds, never text or visibility:
 lines are indented by at most ``MAX_INDENT`` columns, tables nested in more than
 ``TABLE_DEPTH`` tables are laid out as blocks, and in a table that padding would make
-many times larger, cells over ``WIDEST_CELL`` run over their column.
+many times larger, cells over ``WIDEST_CELL`` run over their column; spans are limited as
+HTML limits them.  Visibility follows the ``hidden`` attribute, inline styles and rules of
+``<style>`` elements with simple selectors (tag, classes, id): of ``display`` and
+``visibility`` the most specific and last valid declaration holds, an important one first.
+Rules inside at-rules (media queries), combinators and linked sheets aren't read.
 """
 
 from __future__ import annotations
@@ -34,13 +38,24 @@ TABLE_DEPTH = 12
 WIDEST_CELL = 80
 #: Padding that a table may have for each character of it, and anyway.
 PADDING, SOME_PADDING = 8, 20_000
+#: What HTML limits spans of columns and rows to.
+MOST_COLUMNS, MOST_ROWS = 1000, 65_534
 
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>")
 _COMMENT_END = re.compile(r"--!?>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
-_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
-_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
+_DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?\s*(?=;|$)", re.I)
+_CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
+_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_SELECTOR = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
+#: The keywords of both properties; a declaration of another value counts for nothing.
+_VALUES = {
+    "visibility": frozenset("visible hidden collapse inherit initial unset revert".split()),
+    "display": frozenset(
+        "none contents block inline inline-block flow-root flex inline-flex grid inline-grid table inline-table table-row table-row-group table-header-group table-footer-group table-cell table-column table-column-group table-caption list-item ruby ruby-text inherit initial unset revert".split()
+    ),
+}
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -184,13 +199,81 @@ def hidden(node: Node) -> bool:
         return True
     if not a:
         return node.tag == "dialog"
-    return "hidden" in a or node.tag == "dialog" and "open" not in a or "style" in a and bool(_NOT_SHOWN.search(a["style"]))
+    display = _declared(a["style"], "display") if "style" in a else None
+    if display is not None and display != "revert":
+        return display == "none"
+    return "hidden" in a or node.tag == "dialog" and "open" not in a
 
 
 def _seen(node: Node, seen: bool) -> bool:
     """Whether the element's own text shows, given whether its parent's does."""
-    found = _VISIBILITY.search(node.attributes["style"]) if "style" in node.attributes else None
-    return seen if found is None or found[1].lower() == "inherit" else found[1].lower() not in ("hidden", "collapse")
+    found = _declared(node.attributes["style"], "visibility") if "style" in node.attributes else None
+    if found is None or found in ("inherit", "unset", "revert"):
+        return seen
+    return found not in ("hidden", "collapse")
+
+
+def _declared(style: str, name: str) -> str | None:
+    """The last valid value that ``style`` gives to a property, an important one before all others."""
+    found, strong = None, False
+    for m in _DECLARATION.finditer(style):
+        value = m[2].lower()
+        if m[1].lower() == name and value in _VALUES[name] and (m[3] or not strong):
+            found, strong = value, bool(m[3])
+    return found
+
+
+def _unnested(sheet: str) -> str:
+    """A style sheet without its at-rules, whose conditions are unknown here."""
+    out, at, depth, skip = [], 0, 0, None
+    for m in re.finditer(r"[@{};]", sheet):
+        if skip is None and m[0] == "@":
+            out.append(sheet[at : m.start()])
+            skip, depth = m.start(), 0
+        elif skip is not None:
+            depth += (m[0] == "{") - (m[0] == "}")
+            if depth <= 0 and m[0] in "};":
+                skip, at = None, m.end()
+    if skip is None:
+        out.append(sheet[at:])
+    return "".join(out)
+
+
+def apply_sheets(root: Node) -> None:
+    """Put the display and visibility rules of the page's style elements before the styles of the elements they match.
+
+    Simple selectors count: a tag or ``*``, classes and ids, alone or together.
+    """
+    sheets, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.tag == "style" and "media" not in node.attributes:
+            sheets.append("".join(c for c in node.children if isinstance(c, str)))
+        todo += [c for c in reversed(node.children) if not isinstance(c, str)]
+    rules: dict[str, list] = {}  # by an id, a class or a tag that an element must have
+    place = 0
+    for selectors, body in _RULE.findall(_unnested(_CSS_COMMENT.sub("", "\n".join(sheets)))):
+        if not _DECLARATION.search(body):
+            continue
+        for selector in selectors.split(","):
+            m = _SELECTOR.fullmatch(selector.strip())
+            if not m or not (m[1] or m[2]):
+                continue
+            tag, parts = (m[1] or "*").lower(), re.findall(r"[.#][\w-]+", m[2])
+            rank = (sum(p[0] == "#" for p in parts), sum(p[0] == "." for p in parts), int(tag != "*"), place)
+            place += 1
+            rules.setdefault(next((p for p in parts if p[0] == "#"), parts[0] if parts else tag), []).append((rank, tag, frozenset(parts), body))
+    if not rules:
+        return
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        todo += [c for c in node.children if not isinstance(c, str)]
+        a = node.attributes
+        own = {f".{c}" for c in a.get("class", "").split()} | ({f"#{a['id']}"} if "id" in a else set())
+        hits = [r for k in (*own, node.tag, "*") for r in rules.get(k, ()) if r[1] in ("*", node.tag) and r[2] <= own]
+        if hits:
+            a["style"] = ";".join([*(r[3] for r in sorted(hits, key=lambda r: r[0])), a.get("style", "")])
 
 
 class Page:
@@ -320,7 +403,9 @@ def _width(s: str) -> int:
 
 
 def _span(cell: Node, name: str) -> int:
-    return min(max(_number(cell.attributes.get(name, ""), 1), 1), 100)
+    """HTML's own limits; a row span of zero reaches to the table's end."""
+    n = _number(cell.attributes.get(name, ""), 1)
+    return min(max(n, 1), MOST_COLUMNS) if name == "colspan" else min(n, MOST_ROWS) if n > 0 else MOST_ROWS if n == 0 else 1
 
 
 def _table(table: Node, page: Page, seen: bool, tables: int):
@@ -404,7 +489,10 @@ def render(page: str | None) -> str | None:
     if page is None:
         return None
     out = Page()
-    _run(_walk(build(page), out, False, True, 0))
+    root = build(page)
+    if "<style" in page.lower():
+        apply_sheets(root)
+    _run(_walk(root, out, False, True, 0))
     out.line()
     lines = out.lines
     first, last = 0, len(lines)

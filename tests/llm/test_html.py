@@ -107,3 +107,40 @@ def test_odd_rows(spark):
     assert out.columns == ["page_id", "text", "html_", "text_"]
     assert sorted((r.page_id or 0, r.text_ or "") for r in out.collect()) == [(0, "loose"), (1, ""), (2, "a"), (2, "a"), (3, "")]
     assert html_render.extracted(df.limit(0)).collect() == []
+
+
+def test_the_last_valid_declaration_holds():
+    from eventloom.llm.html_render import render
+
+    shown = lambda style: render(f'<p style="{style}">x</p>') == "x"
+    assert shown("display:none;display:block") and not shown("display:block; DISPLAY : none ")
+    assert shown("visibility:hidden;visibility:visible") and not shown("visibility:visible;visibility:collapse")
+    assert not shown("display:none !important;display:block") and shown("display:none;display:nonsense;display:inline")
+    assert not shown("display:none;display:bogus") and shown("xdisplay:none") and not shown("color:red;display:none")
+    assert render('<p hidden style="display:block">x</p>') == "x" and render("<p hidden>x</p>") == ""
+
+
+def test_rules_of_style_elements():
+    from eventloom.llm.html_render import render
+
+    page = lambda css, body: render(f"<html><head><style>{css}</style></head><body>{body}</body></html>")
+    assert page(".h{display:none}", '<p class="a h">no</p><p class="hh">yes</p>') == "yes"
+    assert page("#i { visibility:hidden } .v{visibility:visible}", '<p id="i">no <b class="v">yes</b></p>') == "yes"
+    assert page("p{display:none} p.on{display:block}", '<p>no</p><p class="on">yes</p>') == "yes"
+    assert page("p.on{display:block} p{display:none}", '<p class="on">yes</p>') == "yes"
+    assert page("#i{display:none} .c{display:block}", '<p id="i" class="c">no</p>') == ""
+    assert page(".a{display:none}.a{display:block}", '<p class="a">yes</p>') == "yes"
+    assert page(".a{display:none}", '<p class="a" style="display:block">yes</p>') == "yes"
+    assert page(".a{display:none !important}", '<p class="a" style="display:block">no</p>') == ""
+    assert page("/* .a{display:none} */ .b , .c{display:none}", '<p class="a">yes</p><p class="c">no</p>') == "yes"
+    assert page("@media print{.a{display:none}} @import x; .b{display:none}", '<p class="a">yes</p><p class="b">no</p>') == "yes"
+    assert page("div .a{display:none} p{margin:0}", '<div><p class="a">yes</p></div>') == "yes"
+
+
+def test_wide_and_tall_spans():
+    from eventloom.llm.html_render import render
+
+    wide = render("<table><tr><td colspan=150>a</td><td>b</td></tr><tr>" + "<td>c</td>" * 150 + "<td>d</td></tr></table>").split("\n")
+    assert wide[0].index("b") == wide[1].index("d")
+    tall = render("<table><tr><td rowspan=0>a</td><td>b</td></tr>" + "<tr><td>c</td></tr>" * 120 + "</table>").split("\n")
+    assert all(x.index("c") == tall[0].index("b") for x in tall[1:])
