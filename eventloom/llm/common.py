@@ -116,17 +116,10 @@ def _array(values, kind: pa.DataType) -> pa.Array:
 
 
 def bounded_sample(ids: DataFrame, key: str, most: int) -> DataFrame:
-    """At most ``most`` rows of ``ids``, chosen by a hash of ``key``: the same on every run.
-
-    All rows while there are no more than ``most``; beyond, a share of them.
-    """
+    """The ``most`` rows of ``ids`` (one a ``key``) of the least hashes of ``key``: the same on every run."""
     from pyspark.sql import functions as F
 
-    n = ids.count()
-    if n <= most:
-        return ids
-    unit = F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    return ids.where(unit < 0.98 * most / n).limit(most)
+    return ids.orderBy(F.xxhash64(F.col(key), F.lit(11)), key).limit(most)
 
 
 #: Ids that are dropped by a broadcast: at most so many, about 16 MB.
