@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventloom.llm import vectext as vt
-from eventloom.llm.common import cut_lineage, free_name, map_arrow, map_texts, without_ids
+from eventloom.llm.common import cut_lineage, dropped, free_name, map_arrow, map_texts, without_ids, written
 
 BITS = 15
 #: Languages whose multinomials are broadcast at once; more take more passes.
@@ -193,8 +193,12 @@ def text_model(docs: DataFrame, declared: list[str], bits: int = BITS) -> tuple[
     counts = np.concatenate([_counts(docs, languages[lo:hi], first(lo, hi), bits) for lo, hi in passes])
     some = counts.sum(axis=1) > 0
     languages, counts = [x for x, is_some in zip(languages, some, strict=True) if is_some], counts[some]
-    if not 1 < len(languages) <= PASS_LANGUAGES:  # one class has nothing to be told from; so many have their declarations
+    if len(languages) < 2:  # one class has nothing to be told from
         return languages, _logs(counts)
+    if len(languages) > PASS_LANGUAGES:
+        again = _recounted(docs, languages, counts, bits)
+        again[again.sum(axis=1) == 0] = counts[again.sum(axis=1) == 0]
+        return languages, _logs(again)
     shared = docs.sparkSession.sparkContext.broadcast(_logs(counts))
 
     def second():
@@ -240,6 +244,30 @@ def _text_evidence(docs: DataFrame, keep: list[str], model: np.ndarray) -> DataF
     return docs.select(*keep, F.concat(*(f"part{k}" for k in range(len(parts)))).alias("evidence"), "n_trigrams")
 
 
+def _recounted(docs: DataFrame, languages: list[str], counts: np.ndarray, bits: int) -> np.ndarray:
+    """The second round's counts of more languages than a task scores at once: texts are labelled and stored, then counted in passes."""
+    found = _text_evidence(docs.select("text", F.col("text").alias("body")), ["body"], _logs(counts))
+    top, best = F.array_max("evidence"), _argmax("evidence")
+    share = 1 / F.aggregate("evidence", F.lit(0.0), lambda s, x: s + F.exp(x - top))
+    label = F.when((share >= SURE) & (F.col("n_trigrams") > 0) & (best < len(languages)), best).cast("string")
+    labelled = written(found.select(F.col("body").alias("text"), label.alias("declared")), "labelled")
+
+    def given(lo: int, hi: int):
+        def labels():
+            def label(buf, off, tags, buckets, owner):
+                which = np.array([-1 if x is None else int(x) for x in tags], np.int64)
+                return np.where((which >= lo) & (which < hi), which - lo, -1)
+
+            return label
+
+        return labels
+
+    passes = [(k, min(k + PASS_LANGUAGES, len(languages))) for k in range(0, len(languages), PASS_LANGUAGES)]
+    out = np.concatenate([_counts(labelled, languages[lo:hi], given(lo, hi), bits) for lo, hi in passes])
+    dropped(docs.sparkSession, labelled)
+    return out
+
+
 def _vector(values) -> Column:
     return F.array(*(F.lit(float(x)) for x in values))
 

@@ -54,7 +54,11 @@ def test_two_texts_under_one_id_are_told_apart(spark, docs):
 def test_many_languages_take_more_passes(docs, monkeypatch):
     monkeypatch.setattr(langid, "PASS_LANGUAGES", 3)
     many = docs.withColumn("lang", F.when(F.col("doc_id") % 50 == 0, F.concat(F.lit("q"), F.char(F.lit(97) + (F.col("doc_id") / 50).cast("int")))).otherwise(F.col("lang")))
+    told = lambda: {r.doc_id: (r.lang_id, round(r.confidence, 6), r.accepted) for r in langid.identify(many).collect()}
+    in_passes = told()
     assert agreement(langid.identify(many, keep=["doc_id", "true"])) > 0.9
+    monkeypatch.setattr(langid, "PASS_LANGUAGES", 256)
+    assert told() == in_passes  # both rounds, whatever the number of passes
 
 
 def test_pages_have_suffixes_and_hosts(spark):
