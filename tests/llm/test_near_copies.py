@@ -133,3 +133,45 @@ def test_a_large_group_emits_few_pairs(spark, monkeypatch):
     want = {i: c for i, c in least(rows).items() if i != c}
     assert {r.id: r.component for r in near_copies.near_copies(df).collect()} == want
     assert sum(emitted) < 300 * 299 / 2 / 3
+
+
+@pytest.mark.parametrize("few", [1, 3])
+def test_keys_cut_into_blocks_lose_no_link(spark, docs_of_copies, monkeypatch, few):
+    for name, value in (("BLOCK", 4), ("ACROSS", 5), ("PIVOTS", 1), ("FEW", few), ("HOT_ROWS", 3)):
+        monkeypatch.setattr(near_copies, name, value)
+    want = {i: c for i, c in least(docs_of_copies).items() if i != c}
+    df = spark.createDataFrame(docs_of_copies, "doc_id long, text string")
+    assert {r.id: r.component for r in near_copies.near_copies(df).collect()} == want
+
+
+def test_no_group_holds_a_hot_key(spark, monkeypatch):
+    """Two thirds of all texts are near copies of one: each key of theirs is cut, and most blocks meet nothing again."""
+    monkeypatch.setattr(near_copies, "BLOCK", 32)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    base = [rng.choice(words) for _ in range(240)]
+    rows = []
+    for i in range(900):
+        other = list(base) if i % 3 else [rng.choice(words) for _ in range(60)]
+        other[rng.randrange(len(other))] = rng.choice(words)
+        rows.append((i, " ".join(other)))
+    groups, across = [], []
+    blocks, met = near_copies._blocks, near_copies._across
+
+    def first(*a):
+        out = blocks(*a)
+        groups.append(out.groupBy("group").count().agg({"count": "max"}).first()[0])
+        return out
+
+    def second(*a):
+        out = met(*a)
+        across.append(out.where("side > 0").count())
+        return out
+
+    monkeypatch.setattr(near_copies, "_blocks", first)
+    monkeypatch.setattr(near_copies, "_across", second)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r.component for r in near_copies.near_copies(df).collect()}
+    assert got == {i: c for i, c in least(rows).items() if i != c}
+    assert groups[0] <= 2 * 32 + near_copies.PIVOTS
+    assert across[0] == 0
