@@ -56,6 +56,10 @@ SEEDS = {
     "pt": "os das uma não para com mais dos foi pela são também ao",
 }
 SEED_HITS = 4
+#: Nats a trigram by which a declared language without a list must fit its own texts better, each left out, than the list's language.
+GAP = 0.25
+#: Values of a declared tag, suffix or host that are broadcast, by languages: at most so many numbers, 16 MB.
+MAX_BROADCAST_NUMBERS = 2_000_000
 #: Share of the posterior by text alone from which the second round learns.
 SURE = 0.9
 
@@ -168,6 +172,60 @@ def _evidence(table: np.ndarray, buckets: np.ndarray, owner: np.ndarray, n: int)
     return sums * (np.minimum(length, TEXT_TRIGRAMS) / np.maximum(length, 1))[:, None], length
 
 
+def _taken_for(docs: DataFrame) -> dict[str, str]:
+    """For each declared language without a list: the list that over half of its texts that a list takes point to."""
+    listed = sorted(SEEDS)
+
+    def run(batches):
+        import pyarrow as pa
+
+        from eventloom.llm.common import row_slices
+
+        seeds = Seeds(listed)
+        for batch in batches:
+            for a, b in row_slices(batch.column(0), vt.SLICE):
+                seeded = seeds.label(*vt.buffers(batch.column(0).slice(a, b - a)))
+                tags = batch.column(1).slice(a, b - a).filter(pa.array(seeded >= 0))
+                yield pa.RecordBatch.from_arrays([tags, pa.array(seeded[seeded >= 0])], names=["tag", "seeded"])
+
+    some = docs.where(F.col("declared").isNotNull() & ~F.col("declared").isin(listed)).select("text", "declared")
+    tally = map_arrow(some, run, "tag string, seeded long").groupBy("tag", "seeded").agg(F.count("*").alias("n"))
+    top = tally.groupBy("tag").agg(F.max(F.struct("n", -F.col("seeded"))).alias("top"), F.sum("n").alias("all"))
+    return {r["tag"]: listed[-r["top"][1]] for r in top.where("2 * top.n > all").collect()}  # tags of two or three letters
+
+
+def _neighbours(docs: DataFrame, bits: int) -> dict[str, str]:
+    """Declared languages without a list that differ from the list's language their texts are taken for."""
+    taken = _taken_for(docs) if docs.where(F.col("declared").isNotNull() & ~F.col("declared").isin(list(SEEDS))).limit(1).count() else {}
+    out, tags = {}, sorted(taken)
+    for k in range(0, len(tags), PASS_LANGUAGES):
+        classes = [*sorted(SEEDS), *tags[k : k + PASS_LANGUAGES]]
+        index = {x: i for i, x in enumerate(classes)}
+
+        def labels(classes=classes, index=index):
+            seeds = Seeds(classes)
+            beside = np.array([index[taken[x]] if x in taken else -1 for x in classes], np.int64)
+
+            def label(buf, off, declared, buckets, owner):
+                seeded = seeds.label(buf, off)
+                tag = np.array([index[x] if x in index and x in taken else -1 for x in declared], np.int64)
+                other = np.array([x in taken for x in declared], bool)
+                return np.where((seeded >= 0) & (tag >= 0) & (beside[tag] == seeded), tag, np.where(other, -1, seeded))
+
+            return label
+
+        counts = _counts(docs, classes, labels, bits)
+        for x in classes[len(SEEDS) :]:
+            own, near = counts[index[x]], counts[index[taken[x]]] + 0.1
+            some, n = own > 0, own.sum()
+            if n < 2:
+                continue
+            left_out = np.log((own[some] - 0.9) / (n - 1 + 0.1 * len(own)))
+            if own[some] @ (left_out - np.log(near[some] / near.sum())) >= GAP * n:
+                out[x] = taken[x]
+    return out
+
+
 def text_model(docs: DataFrame, declared: list[str], bits: int = BITS) -> tuple[list[str], np.ndarray]:
     """The languages found in ``docs`` (text, declared), and log probabilities [language and und, bucket].
 
@@ -175,14 +233,16 @@ def text_model(docs: DataFrame, declared: list[str], bits: int = BITS) -> tuple[
     """
     languages = sorted({*declared, *SEEDS})
     index = {x: i for i, x in enumerate(languages)}
+    neighbours = _neighbours(docs, bits)
+    beside = np.array([index[neighbours[x]] if x in neighbours else -1 for x in languages], np.int64)
 
     def first(lo: int, hi: int):
         def labels():
             seeds = Seeds(languages)
 
             def label(buf, off, tags, buckets, owner):
-                which = seeds.label(buf, off)
-                which = np.where(which < 0, np.array([index.get(x, -1) for x in tags], np.int64), which)
+                seeded, tag = seeds.label(buf, off), np.array([index.get(x, -1) for x in tags], np.int64)
+                which = np.where((seeded < 0) | ((tag >= 0) & (beside[tag] == seeded)), tag, seeded)
                 return np.where((which >= lo) & (which < hi), which - lo, -1)
 
             return label
@@ -281,9 +341,14 @@ def _given(observed: DataFrame, of: str, size: int) -> DataFrame:
     return tallied.select("is", log.alias("given"))
 
 
+def _sized(side: DataFrame, size: int) -> DataFrame:
+    """``side``, broadcast if it holds few enough numbers; else joined with a shuffle, where Spark splits a skewed value."""
+    return F.broadcast(side) if side.count() * size <= MAX_BROADCAST_NUMBERS else side.hint("merge")
+
+
 def _joined(df: DataFrame, of: str, given: DataFrame, name: str, size: int) -> DataFrame:
     """``df`` and ``given`` for its value of ``of`` as ``name``; zeros where there is none."""
-    side = given.select(F.col("is").alias(f"{name}_of"), F.col("given").alias(name))
+    side = _sized(given.select(F.col("is").alias(f"{name}_of"), F.col("given").alias(name)), size)
     return df.join(side, F.col(of) == F.col(f"{name}_of"), "left").withColumn(name, F.coalesce(name, _vector([0.0] * size)))
 
 
@@ -298,7 +363,7 @@ def _host_priors(found: DataFrame, size: int) -> tuple[DataFrame, list[float]]:
     share = lambda k: (F.col(f"d{k}") + DOMAIN_WEIGHT * overall[k]) / (total("d") + DOMAIN_WEIGHT)
     joined = hosts.join(domains, hosts.domain == domains.of_domain)
     prior = F.array(*(F.log((F.col(f"n{k}") + HOST_WEIGHT * share(k)) / (total("n") + HOST_WEIGHT)) for k in range(size)))
-    return joined.select(F.col("host").alias("prior_host"), prior.alias("prior")), [math.log(x) for x in overall]
+    return _sized(joined.select(F.col("host").alias("prior_host"), prior.alias("prior")), size), [math.log(x) for x in overall]
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", host_col: str | None = "source", keep: list[str] | None = None) -> DataFrame:

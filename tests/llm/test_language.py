@@ -72,3 +72,31 @@ def test_without_any_evidence_everything_is_und(spark):
     rows = spark.createDataFrame([(1, "abc def", None, None), (2, None, None, "h"), (None, "", "x", "")], "doc_id long, text string, lang string, source string")
     assert {r.lang_id for r in langid.identify(rows).collect()} == {"und"}
     assert langid.identify(rows.limit(0)).collect() == [] and langid.accepted(rows.limit(0)).collect() == []
+
+
+def _made_up(rng, words, n):
+    """Texts of Portuguese function words and ``words``."""
+    frame = "os das uma não para com mais dos foi pela são também ao".split()
+    return [" ".join(rng.choice(frame if rng.random() < 0.4 else words) for _ in range(80)) for _ in range(n)]
+
+
+def test_a_neighbour_without_a_list_keeps_its_texts(spark, docs):
+    """A language that shares function words with a listed one, beside it and without it; a wrong tag on listed texts gets none."""
+    rng = random.Random(3)
+    letters = "abdefgilmnoprstu"
+    one, two = ([("".join(rng.choice(letters) for _ in range(rng.randint(4, 9)))) + end for _ in range(150)] for end in ("xeo", "ção"))
+    schema = "doc_id long, text string, lang string, source string, true string"
+    gl = [(10_000 + i, t, "gl", "src1", "gl") for i, t in enumerate(_made_up(rng, one, 150))]
+    pt = [(20_000 + i, t, "pt", "src1", "pt") for i, t in enumerate(_made_up(rng, two, 150))]
+    table = docs.select("doc_id", "text", F.when(F.col("doc_id") % 4 == 0, "xx").otherwise(F.col("lang")).alias("lang"), "source", "true")
+    for rows in (gl, gl + pt):
+        found = langid.identify(table.unionByName(spark.createDataFrame(rows, schema)), keep=["doc_id", "true"])
+        assert found.where("lang_id <> `true` or not accepted").where("doc_id >= 10000").count() == 0
+        assert agreement(found) > 0.98
+
+
+def test_joined_evidence_is_the_same(docs, monkeypatch):
+    told = lambda: {r.doc_id: (r.lang_id, round(r.confidence, 6)) for r in langid.identify(docs).collect()}
+    broadcast = told()
+    monkeypatch.setattr(langid, "MAX_BROADCAST_NUMBERS", 0)
+    assert told() == broadcast
