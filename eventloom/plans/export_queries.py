@@ -181,11 +181,11 @@ def bridge_lines(e: DataFrame) -> DataFrame:
     return found.select("event_id", "target", "level", labels_text(F.col("fields")).alias("fields"), "message")
 
 
-@query("sk02_partition_paths", ENV_SQL + "SELECT service, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, CAST(hour(ts) AS INTEGER) AS hour, count(*) AS n FROM env WHERE service <> 'web' GROUP BY ALL")
+@query("sk02_partition_paths", ENV_SQL + "SELECT service, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, CAST(hour(ts) AS INTEGER) AS hour, count(*) AS n FROM env GROUP BY ALL")
 def partition_paths(spark: SparkSession, d: str) -> DataFrame:
     """Partition values read back from the paths of the files."""
     at = shared_path(spark, "hours")
-    tables.write(env(spark, d).where("service <> 'web'"), at, by=("service", "date", "hour"))
+    tables.write(env(spark, d), at, by=("service", "date", "hour"))
     part = lambda c: F.regexp_extract(F.input_file_name(), f"/{c}=([^/]*)/", 1)
     paths = spark.read.parquet(at).select(part("service").alias("service"), part("date").alias("date"), part("hour").cast("int").alias("hour"))
     return paths.groupBy("service", "date", "hour").agg(F.count("*").alias("n"))
@@ -205,11 +205,11 @@ def codecs(spark: SparkSession, d: str) -> DataFrame:
     return made
 
 
-@query("sk14_fan_out", ENV_SQL + "SELECT sink, tier, count(*) AS n FROM env, (VALUES ('first'), ('second')) s(sink) WHERE sev_rank >= 3 GROUP BY ALL")
+@query("sk14_fan_out", ENV_SQL + "SELECT sink, tier, count(*) AS n FROM env, (VALUES ('first'), ('second')) s(sink) GROUP BY ALL")
 def fan_out(spark: SparkSession, d: str) -> DataFrame:
     source, first, second = (shared_path(spark, x) for x in ("source", "first", "second"))
     schema = "event_id long, tier string"
-    env(spark, d).where("sev_rank >= 3").select("event_id", "tier").write.parquet(source)
+    env(spark, d).select("event_id", "tier").write.parquet(source)
     stream = spark.readStream.schema(schema).parquet(source)
     q = stream.writeStream.foreachBatch(tables.fan_out([tables.put_batch(first), tables.put_batch(second)])).option("checkpointLocation", f"{first}-state").trigger(availableNow=True).start()
     q.awaitTermination()

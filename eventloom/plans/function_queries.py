@@ -339,10 +339,10 @@ def hash_collisions(spark: SparkSession, d: str) -> DataFrame:
     return governance.hash_collisions(hashed)
 
 
-@query("gv03_site_budget", "SELECT p_brand AS site, count(*) AS n FROM part WHERE p_size < 20 GROUP BY p_brand HAVING count(*) > 5")
+@query("gv03_site_budget", "SELECT p_brand AS site, count(*) AS n FROM part GROUP BY p_brand HAVING count(*) > 5")
 def site_budget(spark: SparkSession, d: str) -> DataFrame:
     """Sites with more free-form events than the budget of five."""
-    return table(spark, d, "part").where("p_size < 20").groupBy(F.col("p_brand").alias("site")).agg(F.count("*").alias("n")).where("n > 5")
+    return table(spark, d, "part").groupBy(F.col("p_brand").alias("site")).agg(F.count("*").alias("n")).where("n > 5")
 
 
 @query("gv04_enum_variants", "WITH e AS (SELECT p_brand AS event, p_type AS field, count(*) AS variants, CASE WHEN min(p_partkey) % 2 = 0 THEN 2 ELSE 5 END AS cap FROM part GROUP BY ALL) SELECT event, field, 'L005' AS rule FROM e WHERE variants > cap")

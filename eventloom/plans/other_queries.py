@@ -107,10 +107,10 @@ def typed(spark: SparkSession, d: str) -> DataFrame:
     return made.select("event_id", f"{c}.k", f"{c}.props", f"{c}.user_id")
 
 
-@query("sk21_idempotent_batches", ENV_SQL + "SELECT event_id, full_name FROM env WHERE sev_rank >= 4")
+@query("sk21_idempotent_batches", ENV_SQL + "SELECT event_id, full_name FROM env")
 def idempotent(spark: SparkSession, d: str) -> DataFrame:
     source, out = shared_path(spark, "in"), shared_path(spark, "out")
-    env(spark, d).where("sev_rank >= 4").select("event_id", "full_name").write.parquet(source)
+    env(spark, d).select("event_id", "full_name").write.parquet(source)
     stream = spark.readStream.schema("event_id long, full_name string").option("maxFilesPerTrigger", 2).parquet(source)
     put = tables.put_batch(out)
     q = stream.writeStream.foreachBatch(tables.fan_out([put, put])).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
