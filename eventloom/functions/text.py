@@ -104,6 +104,25 @@ def duration_ns(text: str) -> int:
     return int(m[1]) * _UNITS[m[2]]
 
 
+def duration_column(c: Column) -> Column:
+    """The nanoseconds of a column of duration literals; null for other texts and for more than a long holds."""
+    of = lambda i: F.regexp_extract(c, r"^\s*(\d{1,18})\s*(ms|s|m|h|d)\s*$", i)
+    unit = F.create_map(*(F.lit(x) for pair in _UNITS.items() for x in pair))
+    return F.try_multiply(of(1).try_cast("long"), F.try_element_at(unit, of(2)).cast("long"))
+
+
+def digest_id(*parts: Column) -> Column:
+    """A 64-bit id as 16 hex digits: the first eight bytes of the SHA-256 of the parts, each after its length.
+
+    Null parts count as empty; the lengths keep ``a, bc`` and ``ab, c`` apart.  The id zero stands
+    for no id, so a hash of zero becomes one.
+    """
+    own = [F.coalesce(p.cast("string"), F.lit("")) for p in parts]
+    framed = F.concat(*(x for p in own for x in (F.octet_length(p).cast("string"), F.lit(":"), p)))
+    head = F.substring(F.sha2(framed, 256), 1, 16)
+    return F.when(head == "0" * 16, "0" * 15 + "1").otherwise(head)
+
+
 def hash_unit(key: Column) -> Column:
     """A number from 0 to below 1 that follows from ``key``."""
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / 4294967296.0

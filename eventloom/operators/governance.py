@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.text import is_snake_case
+from eventloom.operators.dimensions import small
 
 #: Names of envelope slots that a field may not take.
 RESERVED = ("ts_ns", "service", "instance", "schema_hash", "callsite_id", "sev", "tier", "labels", "payload", "sampling_reason")
@@ -105,6 +106,24 @@ def named(findings: DataFrame, parts: list[str], column: str = "event") -> DataF
     return findings.where(reduce(lambda a, b: a | b, (F.col(column).contains(x) for x in parts))) if parts else findings
 
 
+def seen_labels(envelopes: DataFrame) -> DataFrame:
+    """(event, field, kind): the label keys that each event's rows have, as a field table for ``filter_labels``."""
+    pairs = envelopes.select(F.col("full_name").alias("event"), F.explode(F.map_keys("labels")).alias("field")).distinct()
+    return pairs.withColumn("kind", F.lit("LABEL"))
+
+
+def deviating(envelopes: DataFrame, schemas: DataFrame) -> DataFrame:
+    """(full_name, known, n, n_other_tier, n_other_sev): how many rows of an event depart from its schema's defaults.
+
+    ``schemas``: (full_name, tier, sev), a row an event; events without a schema are not ``known``.
+    """
+    rows = envelopes.groupBy("full_name", "tier", "sev").agg(F.count("*").alias("k"))
+    own = small(schemas.select("full_name", F.col("tier").alias("_tier"), F.col("sev").alias("_sev")))
+    joined = rows.join(own, "full_name", "left")
+    off = lambda a, b: F.sum(F.when(F.col(a) != F.col(b), F.col("k")).otherwise(0))
+    return joined.groupBy("full_name").agg(F.bool_or(F.col("_tier").isNotNull()).alias("known"), F.sum("k").alias("n"), off("tier", "_tier").alias("n_other_tier"), off("sev", "_sev").alias("n_other_sev"))
+
+
 def filter_labels(fields: DataFrame, wanted: list[tuple[str, str]]) -> DataFrame:
     """(event, label, is_label) for the labels that a filter reads: whether the event declares them as such."""
     asked = fields.sparkSession.createDataFrame(wanted, "event string, label string")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.text import float_text, label_escape
+from eventloom.operators.dimensions import small
 
 
 #: Parts that the series of one metric are dealt into.
@@ -27,6 +28,37 @@ def histograms(points: DataFrame, series: list[str], value: str, bounds: list[fl
     return points.groupBy(*series).agg(F.array(*at_most).alias("buckets"), F.count(value).alias("n"), F.sum(value).alias("total"))
 
 
+def bounds_by_metric(declared: DataFrame) -> DataFrame:
+    """(metric, bounds): the ascending bounds of each metric of ``declared`` (metric, bounds), once.
+
+    Order, repeats and nulls within a declaration don't matter; ValueError if a metric is declared with different bounds.
+    """
+    clean = declared.where("metric is not null").select("metric", F.array_sort(F.array_distinct(F.filter("bounds", lambda b: b.isNotNull()))).alias("b"))
+    found = small(clean.groupBy("metric").agg(F.min("b").alias("bounds"), F.max("b").alias("last")))
+    clash = [r["metric"] for r in found.where("bounds <> last").select("metric").orderBy("metric").limit(5).collect()]
+    if clash:
+        raise ValueError(f"metrics with different bounds: {clash}")
+    return found.select("metric", "bounds")
+
+
+def metric_histograms(points: DataFrame, series: list[str], metric: str, value: str, declared: DataFrame) -> DataFrame:
+    """(series.., bounds, buckets, n, total): histograms by the bounds declared for each metric.
+
+    ``metric`` is one of ``series``.  A point is put into the first bucket that holds it and counted
+    there before the shuffle, so a hot series sends a row for each bucket and task.  Metrics without
+    a declaration have no bounds, only n and total; nulls don't count and NaN is over every bound.
+    """
+    found = bounds_by_metric(declared).select(F.col("metric").alias("_metric"), F.col("bounds").alias("_bounds"))
+    known = points.join(found, F.col(metric) == F.col("_metric"), "left")
+    place = F.size(F.filter(F.coalesce("_bounds", F.array().cast("array<double>")), lambda b: b < F.col(value)))
+    counted = known.where(F.col(value).isNotNull()).groupBy(*series, place.alias("_at")).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.first("_bounds").alias("_bounds"))
+    hit = F.collect_list(F.struct(F.col("_at"), F.col("n").alias("k")))  # at most one more than bounds
+    folded = counted.groupBy(*series).agg(hit.alias("_hit"), F.sum("n").alias("n"), F.sum("total").alias("total"), F.first("_bounds").alias("_bounds"))
+    at_most = lambda i: F.aggregate(F.filter("_hit", lambda h: h["_at"] <= i), F.lit(0).cast("long"), lambda a, h: a + h["k"])
+    bounds = F.coalesce("_bounds", F.array().cast("array<double>"))
+    return folded.select(*series, bounds.alias("bounds"), F.transform(bounds, lambda b, i: at_most(i)).alias("buckets"), "n", "total")
+
+
 def capped_series(points: DataFrame, name: str, series: str, order: list[str], most: int) -> DataFrame:
     """(name, series, admitted, n): series by first appearance; those beyond ``most`` are refused.
 

@@ -255,33 +255,6 @@ def series_expiry(e: DataFrame) -> DataFrame:
     return metrics.alive(e.withColumn("region", F.col("labels")["region"]), ["full_name", "region"], "ts_ns", _NOW, 3600 * 10**9)
 
 
-_SMALL = "full_name string, ts_ns bigint, service string, date string"
-_DDL = "CREATE TABLE IF NOT EXISTS lake.events (\n  `full_name` string,\n  `ts_ns` bigint,\n  `service` string,\n  `date` string\n) USING parquet PARTITIONED BY (service, date)"
-
-
-@query("sk23_table_ddl", f"SELECT '{_DDL}' AS ddl")
-def table_ddl(spark: SparkSession, d: str) -> DataFrame:
-    schema = spark.createDataFrame([], _SMALL).schema
-    return spark.createDataFrame([(tables.ddl(schema, "lake.events"),)], "ddl string")
-
-
-@query("sk24_schema_json", """SELECT 'full_name' AS name, 'string' AS type, true AS nullable UNION ALL SELECT 'ts_ns', 'long', true UNION ALL SELECT 'service', 'string', true UNION ALL SELECT 'date', 'string', true""")
-def schema_text(spark: SparkSession, d: str) -> DataFrame:
-    text = tables.schema_json(spark.createDataFrame([], _SMALL).schema)
-    fields = F.from_json(F.lit(text), "type string, fields array<struct<name: string, type: string, nullable: boolean>>")["fields"]
-    return spark.range(1).select(F.explode(fields).alias("f")).select("f.name", "f.type", "f.nullable")
-
-
-@event_query("gv07_migrations", "SELECT column_name, spark_type FROM (VALUES ('event_id', 'bigint'), ('full_name', 'string'), ('sev', 'string'), ('ts_ns', 'bigint'), ('labels', 'map<string,string>')) t(column_name, spark_type)")
-def migrations(e: DataFrame) -> DataFrame:
-    """The columns that the table's DDL declares for envelopes."""
-    ddl = tables.ddl(e.select("event_id", "full_name", "sev", "ts_ns", "labels").schema, "t", by=("sev",))
-    lines = F.split(F.lit(ddl), "\n")
-    found = e.sparkSession.range(1).select(F.explode(lines).alias("line")).where("line like '  `%'")
-    pick = lambda i: F.regexp_extract("line", r"`(\w+)` ([\w<>,]+?)(?: NOT NULL)?,?$", i)
-    return found.select(pick(1).alias("column_name"), pick(2).alias("spark_type"))
-
-
 @query("sc14_parquet_source", ENV_SQL + "SELECT event_id, full_name FROM env WHERE service = 'api' AND sev_rank >= 4")
 def parquet_source(spark: SparkSession, d: str) -> DataFrame:
     at = shared_path(spark, "stored")

@@ -1,4 +1,4 @@
-"""Queries over other tables, stored forms, streams and schemas."""
+"""Queries over other tables, stored forms and streams."""
 
 from __future__ import annotations
 
@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from eventloom.functions import text as tx
 from eventloom.functions import wire
 from eventloom.functions.envelope import ENV_SQL, TIERS, labels_text
-from eventloom.operators import governance, sampling, scopes
+from eventloom.operators import sampling, scopes
 from eventloom.plans.event_queries import env, table
 from eventloom.plans.registry import query
 from eventloom.plans.storage import drained, shared_path
-from eventloom.sources import ndjson, schemas
+from eventloom.sources import ndjson
 from eventloom.sinks import tables
 from eventloom.streaming import stateful
 
@@ -232,37 +232,3 @@ def shipments(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "lineitem").select("l_orderkey", nanos(F.col("l_shipdate")).alias("shipped"))
     joined = o.join(s, (o.o_orderkey == s.l_orderkey) & (s.shipped >= o.placed), "left")
     return joined.groupBy("o_orderkey").agg(F.count("l_orderkey").alias("n_lines"), F.min(F.col("shipped") - F.col("placed")).alias("first_ns"))
-
-
-@query(
-    "sc10_schema_catalogue",
-    "SELECT full_name, tier, sev, CAST(n AS BIGINT) AS n_fields FROM (VALUES ('shop.v1.ObsClick', 'METRIC', 'DEBUG', 2), ('shop.v1.ObsError', 'LOG', 'ERROR', 2), ('shop.v1.ObsPurchase', 'AUDIT', 'INFO', 2), ('shop.v1.ObsSignup', 'LOG', 'WARN', 2), ('shop.v1.ObsView', 'TRACE', 'TRACE', 2)) t(full_name, tier, sev, n)",
-)
-def catalogue(spark: SparkSession, d: str) -> DataFrame:
-    f = schemas.field_table(spark, schemas.SCHEMAS)
-    dims = schemas.schema_table(spark, schemas.SCHEMAS)
-    counts = f.groupBy(F.col("event").alias("full_name")).agg(F.count("field").alias("n_fields"))
-    return dims.join(counts, "full_name").select("full_name", "tier", "sev", "n_fields")
-
-
-@query(
-    "gv01_lint",
-    """SELECT 'bad.v1.' || event AS event, field, rule FROM (VALUES ('ObsEmpty', NULL, 'L009'), ('Unprefixed', NULL, 'L011'), ('ObsLabels', 'user', 'L001'), ('ObsLabels', 'email', 'L002'), ('ObsSecret', 'api_key', 'L003'), ('ObsSecret', 'took', 'L004'),
-    ('ObsAudit', 'mail', 'L006'), ('ObsAudit', 'CamelCase', 'L007'), ('ObsSlots', 'payload', 'L012'), ('ObsSlots', 'trace', 'L014'), ('ObsSlots', 'span_id', 'L014')) t(event, field, rule)""",
-)
-def lint(spark: SparkSession, d: str) -> DataFrame:
-    return governance.lint(schemas.field_table(spark, schemas.BAD))
-
-
-@query("gv02_label_conflicts", "SELECT 'status' AS field, CAST(2 AS BIGINT) AS n_signatures")
-def conflicts(spark: SparkSession, d: str) -> DataFrame:
-    return governance.label_conflicts(schemas.field_table(spark, schemas.BAD))
-
-
-@query(
-    "jn06_schema_diff",
-    """SELECT 'app.v1.' || event AS event, CAST(tag AS INTEGER) AS tag, change, verdict FROM (VALUES ('ObsA', 1, 'kind', 'BREAKING'), ('ObsA', 2, 'cardinality', 'BREAKING'), ('ObsA', 3, 'class', 'BREAKING'), ('ObsA', 4, 'field removed', 'BREAKING'),
-    ('ObsA', 5, 'field added', 'OK'), ('ObsB', NULL, 'event removed', 'BREAKING'), ('ObsC', NULL, 'event added', 'NEW')) t(event, tag, change, verdict)""",
-)
-def schema_diff(spark: SparkSession, d: str) -> DataFrame:
-    return governance.diff(schemas.field_table(spark, schemas.BASE), schemas.field_table(spark, schemas.HEAD))

@@ -54,11 +54,11 @@ def typed_payload(envelopes: DataFrame, event: str, fields: dict[str, str]) -> D
     return envelopes.withColumn(name, F.when(F.col("full_name") == event, F.struct(*parts)))
 
 
-def ddl(schema: T.StructType, table: str, by: tuple[str, ...] = ("service", "date")) -> str:
-    """CREATE TABLE text; partition columns last, as Spark wants them."""
+def ddl(schema: T.StructType, table: str, by: tuple[str, ...] = ("service", "date"), location: str | None = None) -> str:
+    """CREATE TABLE text; partition columns last, as Spark wants them. ``location``: the folder of an external table."""
     columns = sorted(schema.fields, key=lambda f: f.name in by)
     lines = ",\n".join(f"  `{f.name}` {f.dataType.simpleString()}{'' if f.nullable else ' NOT NULL'}" for f in columns)
-    return f"CREATE TABLE IF NOT EXISTS {table} (\n{lines}\n) USING parquet PARTITIONED BY ({', '.join(by)})"
+    return f"CREATE TABLE IF NOT EXISTS {table} (\n{lines}\n) USING parquet PARTITIONED BY ({', '.join(by)})" + (f"\nLOCATION '{location}'" if location else "")
 
 
 def schema_json(schema: T.StructType) -> str:
@@ -66,6 +66,11 @@ def schema_json(schema: T.StructType) -> str:
     return json.dumps(json.loads(schema.json()), sort_keys=True, indent=1)
 
 
+def read_as(spark: SparkSession, path: str, schema_text: str) -> DataFrame:
+    """A stored table read by the schema that ``schema_json`` gave, without a look into its files."""
+    return spark.read.schema(T.StructType.fromJson(json.loads(schema_text))).parquet(path)
+
+
 def put_batch(path: str):
     """A ``foreachBatch`` function that writes each micro-batch once, however often it is retried."""
 
@@ -127,4 +132,4 @@ def newest(files: DataFrame, most: int, by: str = "modified", name: str = "path"
     return files.orderBy(F.desc(by), F.desc(name)).limit(most)
 
 
-__all__ = ["ddl", "evicted", "fan_out", "newest", "payload_column", "put_batch", "put_jdbc", "read", "schema_json", "typed_payload", "with_partitions", "write"]
+__all__ = ["ddl", "evicted", "fan_out", "newest", "payload_column", "put_batch", "put_jdbc", "read", "read_as", "schema_json", "typed_payload", "with_partitions", "write"]
