@@ -101,6 +101,19 @@ def tallies(changes: DataFrame) -> DataFrame:
     return changes.groupBy("verdict").agg(F.count("*").alias("n"))
 
 
+def over_budget(notes: DataFrame, own: DataFrame, default: int) -> DataFrame:
+    """(site, n, n_waived, budget): sites whose free-form events, but for waived ones, are more than their budget.
+
+    ``own``: (site, budget) of sites with a budget of their own, the least if there are several; the
+    others have ``default``.
+    """
+    site, waived = F.col("labels")["site"], F.coalesce(F.col("labels")["waived"] == "true", F.lit(False))
+    used = notes.groupBy(site.alias("site")).agg(F.count("*").alias("n"), F.count_if(waived).alias("n_waived"))
+    budgets = small(own.groupBy(F.col("site").alias("_site")).agg(F.min("budget").alias("budget")))
+    joined = used.join(budgets, F.col("site") == F.col("_site"), "left").withColumn("budget", F.coalesce("budget", F.lit(default)))
+    return joined.where(F.col("n") - F.col("n_waived") > F.col("budget")).select("site", "n", "n_waived", "budget")
+
+
 def named(findings: DataFrame, parts: list[str], column: str = "event") -> DataFrame:
     """The findings on events whose name has any of ``parts`` in it; all of them without parts."""
     return findings.where(reduce(lambda a, b: a | b, (F.col(column).contains(x) for x in parts))) if parts else findings

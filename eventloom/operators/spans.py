@@ -42,7 +42,11 @@ def span_records(envelopes: DataFrame, duration_ns: Column) -> DataFrame:
 
 
 def inherited(spans: DataFrame) -> DataFrame:
-    """``spans`` (span_id, parent_span_id, own_trace) with the trace of their parent, or their own."""
-    parents = spans.select(F.col("span_id").alias("of"), F.col("own_trace").alias("parent_trace"))
+    """``spans`` (span_id, parent_span_id, own_trace) with the trace of their parent, or their own.
+
+    Of a repeated span id the least trace counts, so no row of ``spans`` is multiplied; the ids are
+    folded on the key of the join, before its shuffle.
+    """
+    parents = spans.where("span_id is not null").groupBy(F.col("span_id").alias("of")).agg(F.min("own_trace").alias("parent_trace"))
     joined = spans.join(parents, spans.parent_span_id == parents["of"], "left")
     return joined.withColumn("trace_id", F.coalesce("parent_trace", "own_trace")).drop("of", "parent_trace")

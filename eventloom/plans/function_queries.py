@@ -72,12 +72,17 @@ def words(e: DataFrame) -> DataFrame:
     )
 
 
-@event_query("fn04_segments", "SELECT event_id, full_name IN ('shop.v1.ObsClick') AS leaf, true AS package, false AS part, true AS module FROM env")
+_TARGETS = {"leaf": "shop.v1.ObsClick", "package": "shop.v1", "part": "shop.v", "module": "shop::web"}
+_UNDER = ", ".join(f"name = '{t}' OR starts_with(name, '{t}.') OR starts_with(name, '{t}::') AS {c}" for c, t in _TARGETS.items())
+
+
+@event_query("fn04_segments", f", named AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN full_name WHEN 1 THEN full_name || '.sub' WHEN 2 THEN full_name || 'Extra' WHEN 3 THEN 'shop::' || service ELSE 'shop::' || service || '::deep' END AS name FROM env) SELECT event_id, {_UNDER} FROM named")
 def segments(e: DataFrame) -> DataFrame:
     """Whole segments only: ``shop.v1`` covers an event, ``shop.v`` does not."""
-    name = F.col("full_name")
     module = F.concat(F.lit("shop::"), F.col("service"))
-    return e.select("event_id", filters.under(name, "shop.v1.ObsClick").alias("leaf"), filters.under(name, "shop.v1").alias("package"), filters.under(name, "shop.v").alias("part"), filters.under(module, "shop").alias("module"))
+    forms = F.array(F.col("full_name"), F.concat("full_name", F.lit(".sub")), F.concat("full_name", F.lit("Extra")), module, F.concat(module, F.lit("::deep")))
+    name = F.get(forms, (F.col("event_id") % 5).cast("int"))
+    return e.select("event_id", *(filters.under(name, t).alias(c) for c, t in _TARGETS.items()))
 
 
 @event_query("fn12_payload_columns", "SELECT DISTINCT full_name, 'payload_' || lower(replace(full_name, '.', '_')) AS out FROM env")
@@ -269,10 +274,16 @@ def hash_collisions(spark: SparkSession, d: str) -> DataFrame:
     return governance.hash_collisions(hashed)
 
 
-@query("gv03_site_budget", "SELECT p_brand AS site, count(*) AS n FROM part GROUP BY p_brand HAVING count(*) > 5")
-def site_budget(spark: SparkSession, d: str) -> DataFrame:
-    """Sites with more free-form events than the budget of five."""
-    return table(spark, d, "part").groupBy(F.col("p_brand").alias("site")).agg(F.count("*").alias("n")).where("n > 5")
+@event_query(
+    "gv03_site_budget",
+    """, notes AS (SELECT region || '.rs' AS site, region, k FROM env WHERE event_id % 7 = 0), used AS (SELECT site, region, count(*) AS n, CAST(sum(CASE WHEN k > 90 THEN 1 ELSE 0 END) AS BIGINT) AS n_waived FROM notes GROUP BY ALL)
+    SELECT site, n, n_waived, CASE WHEN region = '0' THEN 1000000 ELSE 5 END AS budget FROM used WHERE n - n_waived > CASE WHEN region = '0' THEN 1000000 ELSE 5 END""",
+)
+def site_budget(e: DataFrame) -> DataFrame:
+    """Sites with more free-form events than their budget: five, or the site's own; waived ones don't count."""
+    notes = e.where("event_id % 7 = 0").select(F.concat(F.col("labels")["region"], F.lit(".rs")).alias("site"), F.col("props").alias("message"), F.create_map(F.lit("waived"), (F.col("k") > 90).cast("string")).alias("attrs"))
+    own = e.sparkSession.createDataFrame([("0.rs", 1_000_000)], "site string, budget int")
+    return governance.over_budget(exports.forensic_events(notes), own, 5).select("site", "n", "n_waived", "budget")
 
 
 @query("gv04_enum_variants", "WITH e AS (SELECT p_brand AS event, p_type AS field, count(*) AS variants, CASE WHEN min(p_partkey) % 2 = 0 THEN 2 ELSE 5 END AS cap FROM part GROUP BY ALL) SELECT event, field, 'L005' AS rule FROM e WHERE variants > cap")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import config
 from eventloom.functions.envelope import from_events
-from eventloom.operators import exports, metrics
+from eventloom.operators import exports, governance, metrics, spans
 from eventloom.plans import storage
 from eventloom.sinks import tables
 
@@ -77,3 +77,15 @@ def test_empty_inputs(spark, events):
         assert made.collect() == []
     tree = spark.createDataFrame([], "span_id string, parent_span_id string, own_trace string")
     assert exports.root_traces(tree).collect() == []
+
+
+def test_repeated_spans_multiply_no_row(spark):
+    rows = [("p", None, "t2"), ("p", None, "t1"), ("c", "p", "t3"), ("d", "none", "t4"), (None, None, "t5"), ("f", None, None)]
+    found = spans.inherited(spark.createDataFrame(rows, "span_id string, parent_span_id string, own_trace string"))
+    assert sorted((r.span_id or "", r.own_trace or "", r.trace_id or "") for r in found.collect()) == [("", "t5", "t5"), ("c", "t3", "t1"), ("d", "t4", "t4"), ("f", "", ""), ("p", "t1", "t1"), ("p", "t2", "t2")]
+
+
+def test_budgets_of_sites(spark):
+    notes = spark.createDataFrame([({"site": s, "waived": w},) for s, w in [("a", "false")] * 6 + [("b", "true")] * 9 + [("c", None)] * 3], "labels map<string,string>")
+    own = spark.createDataFrame([("c", 2), ("c", 9), ("z", 0)], "site string, budget int")
+    assert sorted(tuple(r) for r in governance.over_budget(notes, own, 5).collect()) == [("a", 6, 0, 5), ("c", 3, 0, 2)]
