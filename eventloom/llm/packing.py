@@ -190,7 +190,9 @@ def pack_conversations(turns: DataFrame, path: str | None = None, id_col: str =
 
     A conversation is one example: its turns are its segments and the tokens of the
     assistant's turns bear loss (each turn ends with one more token).  Rows without an id are
-    one conversation; an example over a limit has a sequence of its own.
+    one conversation; an example over a limit has a sequence of its own.  A task packs a window
+    of ``WINDOW`` examples at a time and carries half of them over, so only its last sequences
+    can be short, and the batches that rows come in don't matter.
     """
     from eventloom.llm.tokens import default_path
 
@@ -215,28 +217,42 @@ def pack_conversations(turns: DataFrame, path: str | None = None, id_col: str =
         from pyspark import TaskContext
 
         base, number = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            ids = batch.column(0)
-            n, s, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
-            rows = []
-            for sequence in vector_bins(np.stack([n, s, m], axis=1), np.array([tokens, segments, loss])):
+        limit = np.array([tokens, segments, loss])
+        pool: list[tuple[object, int, int, int]] = []
+
+        def out(leave):
+            nonlocal number, pool
+            demands = np.array([x[1:] for x in pool], np.int64).reshape(-1, 3)
+            rows, bins = [], vector_bins(demands, limit, leave)
+            for sequence in bins:
                 at = 0
                 for i in sequence:
-                    rows.append((i, base + number, at))
-                    at += int(n[i])
+                    rows.append((pool[i][0], base + number, at, *pool[i][1:]))
+                    at += pool[i][1]
                 number += 1
-            order, sequence_id, offset = (np.array(c, np.int64) for c in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 3
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(order)), *(pa.array(x) for x in (sequence_id, offset, n[order], s[order], m[order]))], names=["id", "sequence_id", "offset", "length", "segments", "loss"])
+            gone = {i for sequence in bins for i in sequence}
+            pool = [x for i, x in enumerate(pool) if i not in gone]
+            columns = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], kind_of), *(pa.array(x, pa.int64()) for x in columns[1:])], names=["id", "sequence_id", "offset", "length", "segments", "loss"])
+
+        for batch in batches:
+            kind_of = batch.schema.field(0).type
+            for example in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                pool.append(example)
+                if len(pool) == WINDOW:
+                    yield out(WINDOW // 2)
+        if pool:
+            yield out(0)
 
     placed = map_arrow(examples, place, f"id {kind}, sequence_id long, offset long, length long, segments long, loss long")
     return placed.withColumnRenamed("id", id_col)
 
 
-def vector_bins(demands: np.ndarray, limit: np.ndarray) -> list[list[int]]:
-    """Bins of whole items by the dot-product heuristic; an item over a limit is alone."""
+def vector_bins(demands: np.ndarray, limit: np.ndarray, leave: int = 0) -> list[list[int]]:
+    """Bins of whole items by the dot-product heuristic, while over ``leave`` items are left; an item over a limit is alone."""
     alive, out = np.ones(len(demands), bool), []
     weight = (demands.mean(axis=0) if len(demands) else np.zeros(len(limit))) / limit.astype(float) ** 2
-    while alive.any():
+    while alive.sum() > leave:
         room, own = limit.copy(), []
         while True:
             fits = alive & (demands <= room).all(axis=1)

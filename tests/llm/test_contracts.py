@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -150,3 +151,37 @@ def test_conversations_keep_all_limits(spark, sf):
     bins = placed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.sum("segments").alias("s"), F.sum("loss").alias("l"), F.count("*").alias("k"))
     assert placed.count() == turns.select("conv_id").distinct().count()
     assert bins.where("k > 1 and (n > 2048 or s > 16 or l > 1024)").isEmpty()
+
+
+def test_conversations_fill_their_sequences(spark, sf, monkeypatch):
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").coalesce(1)
+    many = turns.crossJoin(spark.range(6)).withColumn("conv_id", F.col("conv_id") * 6 + F.col("id")).drop("id")
+    monkeypatch.setattr(packing, "WINDOW", 64)
+    before, found = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), []
+    for size in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            found.append(sorted(tuple(r) for r in packing.pack_conversations(many, loss=1024).collect()))
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [r[0] for r in found[0]] == [r[0] for r in found[1]] and len({r[0] for r in found[0]}) == len(found[0]) == many.select("conv_id").distinct().count()
+    least = max(sum(r[i] for r in found[0]) / most for i, most in ((3, 2048), (4, 16), (5, 1024)))
+    tasks = {r[1] >> 32 for r in found[0]}
+    for rows in found:
+        assert len({r[1] for r in rows}) <= 1.25 * least + len(tasks)
+
+
+def test_conversations_of_odd_rows(spark):
+    kinds = "conv_id long, turn long, role string, text string"
+    rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, None, None), (None, 0, "assistant", "ok"), (2, 0, "assistant", "word " * 3000), (3, 0, "user", "")]
+    found = {r["conv_id"]: r for r in packing.pack_conversations(spark.createDataFrame(rows, kinds)).collect()}
+    assert set(found) == {1, 2, 3, None} and found[1]["segments"] == 3 and found[3]["length"] == 1
+    assert found[2]["length"] > 2048 and [r["conv_id"] for r in found.values() if r["sequence_id"] == found[2]["sequence_id"]] == [2]
+    assert packing.pack_conversations(spark.createDataFrame([], kinds)).collect() == []
+
+
+def test_bins_leave_some_items():
+    demands = np.array([[5, 1, 1], [5, 1, 1], [9, 1, 1], [1, 1, 1]])
+    bins = packing.vector_bins(demands, np.array([10, 4, 4]), leave=2)
+    assert 2 <= sum(map(len, bins)) <= 4 and len({i for b in bins for i in b}) == sum(map(len, bins))
+    assert sorted(i for b in packing.vector_bins(demands, np.array([10, 4, 4])) for i in b) == [0, 1, 2, 3]
