@@ -1,7 +1,11 @@
-"""Near copies by exact similarity of word shingles: a set-similarity join by prefixes.
+"""Near copies by SimHash, verified exactly, and a set-similarity join by prefixes for what its bits miss.
 
 Two texts are near copies if the Jaccard similarity of their sets of word shingles is at
-least ``SIMILARITY``.  Put all shingles in one order: then two such texts share one of
+least ``SIMILARITY``.  First SimHash fingerprints of the sets are linked within a few bits
+(``simhash.candidates``); links that hold by similarity make groups.  Other near copies
+differ in more bits, so a join across groups finds all that is left.
+
+Put all shingles in one order: then two such texts share one of
 the first n - ceil(similarity * n) + 1 shingles of each (prefix filter), so a text is
 dealt out under those alone and no pair is missed, however many bits its SimHash differs
 in.  Sizes and places of the shared shingle rule out most pairs (length and positional
@@ -481,6 +485,8 @@ def _verified(pairs: DataFrame, plain: DataFrame, reps: DataFrame, share: Fracti
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """The copies (id, sig, component), and what more than one row has (id, sig)."""
+    from eventloom.llm import simhash
+
     share = Fraction(similarity).limit_denominator(1000)
     plain = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).where("id is not null")
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(plain, size, share, CROWD))
@@ -497,12 +503,14 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, similarity:
             dealt, at = _only(sets, offsets, first)
             marks = sketches(dealt, at)
             small = [m.tobytes() for m in prints(dealt, at)]
+            mixed = vt.mix(dealt)
+            bits = np.array([simhash.fingerprint(mixed[a:b]) for a, b in zip(at, at[1:], strict=False)], np.uint64).view(np.int64)
             kept = lambda xs: pa.array([m if f else None for f, m in zip(first, xs, strict=True)], pa.binary())
-            return [sig, n, _lists(*prefixes(dealt, at, share, frequent)), kept(marks), kept(small)]
+            return [sig, n, _lists(*prefixes(dealt, at, share, frequent)), kept(marks), kept(small), bits]
 
         return make
 
-    fields = [T.StructField("sig", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", _LONGS), T.StructField("sketch", T.BinaryType()), T.StructField("print", T.BinaryType())]
+    fields = [T.StructField("sig", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", _LONGS), T.StructField("sketch", T.BinaryType()), T.StructField("print", T.BinaryType()), T.StructField("fp", T.LongType())]
     marked = written(map_texts(plain, "text", ["id"], fields, start), "prefixes")
     reps = cut_lineage(marked.groupBy("sig").agg(F.min("id").alias("rep")))
     dealt = cut_lineage(_shared(marked))
@@ -510,16 +518,17 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, similarity:
     blocks = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("size") / BLOCK))).cast("long")  # keys of the same sets have the same blocks
     huge = cut_lineage(held.where(F.col("size") > BLOCK).select("of", blocks.alias("blocks")))
     huge = F.broadcast(huge) if huge.count() <= MAX_BROADCAST_IDS else huge.hint("merge")
-    sketched = cut_lineage(marked.where("sketch is not null").groupBy("sig").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.max("print").alias("print")))
-    near = lambda of, first: _near(_pairs(of, share, first), sketched, share).distinct()
+    sketched = cut_lineage(marked.where("sketch is not null").groupBy("sig").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.max("print").alias("print"), F.max("fp").alias("fp")))
+    verified = lambda pairs: cut_lineage(_verified(_near(pairs, sketched, share).distinct(), plain, reps, share, size))
     printed = lambda rows: rows.join(sketched.select("sig", "print"), "sig")
     alone = _blocks(dealt, huge).withColumn("part", F.col("sig")).withColumn("side", F.lit(0))
-    links = cut_lineage(_verified(near(printed(alone), True), plain, reps, share, size))
+    links = verified(simhash.candidates(sketched.select(F.col("sig").alias("id"), "fp")).distinct())
+    links = links.unionByName(verified(_pairs(printed(alone), share, True)))
     joined = components(links)
     parted = dealt.join(joined, dealt.sig == joined.id, "left").select("key", "n", "sig", "at", F.coalesce("component", "sig").alias("part"))
     mixed = parted.groupBy(F.col("key").alias("mixed")).agg(F.count("*").alias("size"), F.min("part").alias("lo"), F.max("part").alias("hi"))
     parted = parted.join(mixed.where((F.col("size") > FEW) & (F.col("lo") < F.col("hi"))), F.col("key") == F.col("mixed"), "left_semi")
-    links = links.unionByName(_verified(near(printed(_across(parted, huge)), False), plain, reps, share, size))
+    links = links.unionByName(verified(_pairs(printed(_across(parted, huge)), share, False)))
     labels = components(links)
     nodes = reps.join(labels, reps.sig == labels.id, "left").select("sig", "rep", F.coalesce("component", "sig").alias("part"))
     least = nodes.groupBy(F.col("part").alias("is")).agg(F.min(F.struct("rep", "sig")).alias("least"))

@@ -186,15 +186,25 @@ def _midpoint_links(dense: DataFrame) -> DataFrame:
     return near.join(least, near.mid == least["at"]).where("u <> v").select("u", "v").distinct()
 
 
+def links(nodes: DataFrame, dense: int = DENSE, blocks: int | None = None) -> DataFrame:
+    """(u, v): links that join all of ``nodes`` (fp, rep) that chains of DISTANCE bits or fewer reach."""
+    found = cut_lineage(_links(nodes.where("rep is not null"), dense, blocks or blocks_for(nodes.count())))
+    near = found.where("v is not null").select("u", "v")
+    crowded = found.where("v is null").select("fp", F.col("u").alias("rep")).distinct()
+    return near if crowded.isEmpty() else near.unionByName(_midpoint_links(crowded))
+
+
+def candidates(prints: DataFrame, dense: int = DENSE, blocks: int | None = None) -> DataFrame:
+    """(u, v): pairs of ids of ``prints`` (id, fp) to verify, of a spanning forest of the fingerprints' links."""
+    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("rep")))
+    same = prints.join(nodes, "fp").where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
+    return same.unionByName(links(nodes, dense, blocks))
+
+
 def groups(prints: DataFrame, dense: int = DENSE, blocks: int | None = None) -> DataFrame:
     """(fp, component): the least id that each distinct fp of ``prints`` (id, fp) reaches."""
     nodes = cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("rep")))
-    found = cut_lineage(_links(nodes.where("rep is not null"), dense, blocks or blocks_for(nodes.count())))
-    links = found.where("v is not null").select("u", "v")
-    crowded = found.where("v is null").select("fp", F.col("u").alias("rep")).distinct()
-    if not crowded.isEmpty():
-        links = links.unionByName(_midpoint_links(crowded))
-    labels = components(links)
+    labels = components(links(nodes, dense, blocks))
     return nodes.join(labels, nodes.rep == labels.id, "left").select("fp", F.coalesce("component", "rep").alias("component"))
 
 
@@ -209,8 +219,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = near_copies.SHINGLE, similarity: float = near_copies.SIMILARITY) -> DataFrame:
     """``docs`` with one row of each group of near copies, that of the least id; all columns stay.
 
-    Not by the query's fingerprints: four bits of 4-word shingles miss most texts of a
-    similarity of 0.8, and no number of blocks is both wide enough and cheap.  The rule is
-    exact instead, see ``near_copies``.
+    SimHash fingerprints of the texts' sets of ``size``-word shingles are linked as above, and
+    links that an exact check of the similarity confirms make the first groups.  DISTANCE bits
+    miss texts of a similarity of 0.8, and no number of blocks is both wide enough and cheap:
+    ``near_copies`` then finds every link between different groups.
     """
     return near_copies.one_of_each(docs, id_col, text_col, size, similarity)

@@ -175,3 +175,28 @@ def test_no_group_holds_a_hot_key(spark, monkeypatch):
     assert got == {i: c for i, c in least(rows).items() if i != c}
     assert groups[0] <= 2 * 32 + near_copies.PIVOTS
     assert across[0] == 0
+
+
+def test_near_copies_are_first_linked_by_simhash(spark, monkeypatch):
+    """Without the join by prefixes, the pairs within the fingerprints' distance are found, and those alone."""
+    import numpy as np
+
+    rng = random.Random(11)
+    rows, want = [], {}
+
+    def bits(text):
+        buf = np.frombuffer(text.encode(), np.uint8)
+        found, _ = near_copies.shingle_sets(buf, np.array([0, len(buf)]))
+        return int(simhash.fingerprint(near_copies.vt.mix(found)))
+
+    for i in range(0, 80, 2):
+        text = [f"w{rng.randrange(5_000)}" for _ in range(300)]
+        other = [*text[:150], "changed", *text[151:]]
+        rows += [(i, " ".join(text)), (i + 1, " ".join(other))]
+        if (bits(rows[-2][1]) ^ bits(rows[-1][1])).bit_count() <= simhash.DISTANCE:
+            want[i + 1] = i
+    assert 5 < len(want) < 40
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.id: r.component for r in near_copies.near_copies(df).collect()} == {i + 1: i for i in range(0, 80, 2)}
+    monkeypatch.setattr(near_copies, "_pairs", lambda of, *a: of.sparkSession.createDataFrame([], "u long, v long"))
+    assert {r.id: r.component for r in near_copies.near_copies(df).collect()} == want
