@@ -2,8 +2,8 @@
 
 Two texts are near copies if the Jaccard similarity of their sets of word shingles is at
 least ``SIMILARITY``.  First SimHash fingerprints of the sets are linked within a few bits
-(``simhash.candidates``); links that hold by similarity make groups.  Other near copies
-differ in more bits, so a join across groups finds all that is left.
+(``simhash.candidates``).  Other near copies differ in more bits: a join finds all that are
+left.  Links of both are verified together and make groups.
 
 Put all shingles in one order: then two such texts share one of
 the first n - ceil(similarity * n) + 1 shingles of each (prefix filter), so a text is
@@ -18,11 +18,12 @@ no pairs of them.
 What is shuffled: the keys of distinct texts (a fifth of their shingles, equal sets once
 a task), twice, the sketches (a bit a shingle), and the texts of the few pairs to verify.
 
-Sets under a key are compared there by small sketches, and only pairs that these leave in
-the race go on.  They come in two rounds.  The first takes all such pairs under a key of a
-few sets, and under a larger one those of a spanning forest of the nearest; the second takes
-the rest under larger keys, but only across the groups that the first has joined, so a large
-group of near copies doesn't emit its pairs.
+Sets under a key are compared there by small sketches, and only pairs
+that these leave in the race go on.  They come in two rounds.  A key with at most ``FEW / 2``
+such pairs a set emits them all in the first round and is done, however many sets it has.
+One with more, as a large group of near copies has, emits those of a spanning forest of the
+nearest and stays open; the second round takes the rest under open keys, but only across the
+groups that the first has joined, so a large group of near copies doesn't emit its pairs.
 
 No task holds a key of very many sets.  Keys that a batch of texts shows to be hot are
 shuffled by key and set.  In the first round a key of more than ``BLOCK`` sets is cut into
@@ -54,7 +55,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Shingles that so many texts would be dealt out under are put last; the most frequent FREQUENT of them at most.
 CROWD, FREQUENT = 12, 1_000_000
-#: Under a key of at most so many sets all pairs are looked at in the first round.
+#: Keys with half so many pairs a set, or fewer, emit all of them in the first round: any key of FEW sets does.
 FEW = 8
 #: Keys of more sets are cut into blocks of about so many, each with so many sets that all blocks have.
 BLOCK, PIVOTS = 256, 16
@@ -337,20 +338,38 @@ class _Race:
         return np.where(out, -1, (b - a) * (n + m) - (a + b) * apart)
 
 
-def _forest(race: _Race, lo: int, hi: int) -> tuple[list[int], list[int]]:
-    """Pairs of a spanning forest, nearest first (Prim), of the sets from ``lo`` to before ``hi``."""
+def _raced(race: _Race, group: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs within equal ``group`` (sorted) and of different parts that stay in the race, as places."""
+    left, right, i, lag = [], [], np.arange(len(group)), 0
+    while len(i):
+        lag += 1
+        i = i[i + lag < len(group)]
+        i = i[group[i] == group[i + lag]]
+        apart = i[part[i] != part[i + lag]]
+        near = apart[race.slack(apart, apart + lag) >= 0]
+        left.append(near)
+        right.append(near + lag)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _forest(race: _Race, part: np.ndarray, lo: int, hi: int) -> tuple[list[int], list[int]]:
+    """Pairs of a spanning forest, nearest first (Prim), of the parts of the sets from ``lo`` to before ``hi``."""
+
+    def nearness(i, rest):
+        return np.where(part[rest] == part[i], np.iinfo(np.int64).max, race.slack(np.full(len(rest), i), rest))
+
     rest = np.arange(lo + 1, hi)
-    best, by = race.slack(np.full(len(rest), lo), rest), np.full(len(rest), lo)
+    best, by = nearness(lo, rest), np.full(len(rest), lo)
     left, right = [], []
     while len(rest):
         k = int(best.argmax())
-        new = int(rest[k])
-        if best[k] >= 0:
-            left.append(int(by[k]))
+        new, of = int(rest[k]), int(by[k])
+        if best[k] >= 0 and part[new] != part[of]:
+            left.append(of)
             right.append(new)
         rest, best, by = (np.delete(x, k) for x in (rest, best, by))
         if len(rest):
-            near = race.slack(np.full(len(rest), new), rest)
+            near = nearness(new, rest)
             better = near > best
             best, by = np.where(better, near, best), np.where(better, new, by)
     return left, right
@@ -359,8 +378,8 @@ def _forest(race: _Race, lo: int, hi: int) -> tuple[list[int], list[int]]:
 def _pairs(grouped: DataFrame, share: Fraction, first: bool) -> DataFrame:
     """(u, v): sets of ``grouped`` (group, n, sig, at, part, side, print) that may be near copies.
 
-    The ``first`` round takes all pairs of groups of few sets and forests of the others;
-    the second takes what lies between different parts.
+    All pairs are of different parts.  The ``first`` round takes all of groups that have few
+    for their sets, and forests of the others, told by (group, null); the second takes all.
     """
 
     def run(batches):
@@ -381,21 +400,24 @@ def _pairs(grouped: DataFrame, share: Fraction, first: bool) -> DataFrame:
             starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             sizes = np.diff(np.append(starts, len(key)))
             if first:
-                i = np.flatnonzero(np.repeat(sizes <= FEW, sizes))
-                for lag in range(1, FEW):
-                    i = i[i + lag < len(key)]
-                    i = i[key[i] == key[i + lag]]
-                    ok = i[race.slack(i, i + lag) >= 0] if len(i) else i
-                    if len(ok):
-                        found.append((sig[ok], sig[ok + lag]))
-                        held += len(ok)
+                which = np.repeat(np.arange(len(sizes)), sizes)
+                left, right = _raced(race, which, part)
+                dense = 2 * np.bincount(which[left], minlength=len(sizes)) > FEW * sizes
+                few = ~dense[which[left]]
+                chosen = [(left[few], right[few])]
+                chosen += [_forest(race, part, lo, lo + size) for lo, size in zip(starts[dense].tolist(), sizes[dense].tolist(), strict=True)]
+                i, j = (np.concatenate(x).astype(np.int64) for x in zip(*chosen, strict=True))
+                if len(i):
+                    found.append((sig[i], sig[j]))
+                    held += len(i)
+                if dense.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(key[starts[dense]]), pa.nulls(int(dense.sum()), pa.int64())], names=["u", "v"])
+                if held > 200_000:
+                    yield out()
+                    found, held = [], 0
+                continue
             for lo, size in zip(starts.tolist(), sizes.tolist(), strict=True):
-                if first and size > FEW:
-                    left, right = _forest(race, lo, lo + size)
-                    if left:
-                        found.append((sig[left], sig[right]))
-                        held += len(left)
-                elif not first and (part[lo : lo + size] != part[lo]).any():
+                if (part[lo : lo + size] != part[lo]).any():
                     rights = lo + np.flatnonzero(side[lo : lo + size] == 2)
                     for i in (lo + np.flatnonzero(side[lo : lo + size] < 2)).tolist():
                         j = rights if side[i] else np.arange(i + 1, lo + size)
@@ -407,9 +429,6 @@ def _pairs(grouped: DataFrame, share: Fraction, first: bool) -> DataFrame:
                         if held > 200_000:
                             yield out()
                             found, held = [], 0
-                if held > 200_000:
-                    yield out()
-                    found, held = [], 0
         if found:
             yield out()
 
@@ -520,16 +539,20 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, similarity:
     huge = F.broadcast(huge) if huge.count() <= MAX_BROADCAST_IDS else huge.hint("merge")
     sketched = cut_lineage(marked.where("sketch is not null").groupBy("sig").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.max("print").alias("print"), F.max("fp").alias("fp")))
     verified = lambda pairs: cut_lineage(_verified(_near(pairs, sketched, share).distinct(), plain, reps, share, size))
+    more = lambda joined, links: components(joined.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(links))
+    part = F.coalesce("component", "sig").alias("part")
     printed = lambda rows: rows.join(sketched.select("sig", "print"), "sig")
+    by_bits = simhash.candidates(sketched.select(F.col("sig").alias("id"), "fp"))
     alone = _blocks(dealt, huge).withColumn("part", F.col("sig")).withColumn("side", F.lit(0))
-    links = verified(simhash.candidates(sketched.select(F.col("sig").alias("id"), "fp")).distinct())
-    links = links.unionByName(verified(_pairs(printed(alone), share, True)))
-    joined = components(links)
-    parted = dealt.join(joined, dealt.sig == joined.id, "left").select("key", "n", "sig", "at", F.coalesce("component", "sig").alias("part"))
-    mixed = parted.groupBy(F.col("key").alias("mixed")).agg(F.count("*").alias("size"), F.min("part").alias("lo"), F.max("part").alias("hi"))
-    parted = parted.join(mixed.where((F.col("size") > FEW) & (F.col("lo") < F.col("hi"))), F.col("key") == F.col("mixed"), "left_semi")
-    links = links.unionByName(verified(_pairs(printed(_across(parted, huge)), share, False)))
-    labels = components(links)
+    found = cut_lineage(_pairs(printed(alone), share, True))
+    joined = components(verified(by_bits.unionByName(found.where("v is not null"))))
+    unsettled = found.where("v is null").select(F.col("u").alias("open")).unionByName(huge.select(F.col("of").alias("open"))).distinct()
+    rest = dealt.join(unsettled, dealt.key == unsettled.open, "left_semi")
+    parted = cut_lineage(rest.join(joined, rest.sig == joined.id, "left").select("key", "n", "sig", "at", part))
+    mixed = parted.groupBy(F.col("key").alias("mixed")).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
+    parted = cut_lineage(parted.join(mixed, parted.key == mixed.mixed, "left_semi"))
+    across = _across(parted, huge)
+    labels = more(joined, verified(_pairs(printed(across), share, False)))
     nodes = reps.join(labels, reps.sig == labels.id, "left").select("sig", "rep", F.coalesce("component", "sig").alias("part"))
     least = nodes.groupBy(F.col("part").alias("is")).agg(F.min(F.struct("rep", "sig")).alias("least"))
     of = nodes.join(least, nodes.part == F.col("is")).select(F.col("sig").alias("of"), "least")

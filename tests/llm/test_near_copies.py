@@ -200,3 +200,29 @@ def test_near_copies_are_first_linked_by_simhash(spark, monkeypatch):
     assert {r.id: r.component for r in near_copies.near_copies(df).collect()} == {i + 1: i for i in range(0, 80, 2)}
     monkeypatch.setattr(near_copies, "_pairs", lambda of, *a: of.sparkSession.createDataFrame([], "u long, v long"))
     assert {r.id: r.component for r in near_copies.near_copies(df).collect()} == want
+
+
+def test_unlike_texts_under_a_key_are_settled_at_once(spark, monkeypatch):
+    """Forty texts share a frame, so some keys hold them all, but few pairs stay in the race: none goes to the second round."""
+    monkeypatch.setattr(near_copies, "CROWD", 1_000)
+    rng = random.Random(12)
+    frame = [f"f{i}" for i in range(30)]
+    rows = [(i, " ".join([*frame, *(f"w{rng.randrange(5_000)}" for _ in range(300))])) for i in range(40)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(0, 40, 4)]
+    again, keys = [], []
+    met, blocks = near_copies._across, near_copies._blocks
+
+    def second(parted, *a):
+        again.append(parted.count())
+        return met(parted, *a)
+
+    def first(dealt, *a):
+        keys.append(dealt.groupBy("key").count().where(f"count > {near_copies.FEW}").count())
+        return blocks(dealt, *a)
+
+    monkeypatch.setattr(near_copies, "_across", second)
+    monkeypatch.setattr(near_copies, "_blocks", first)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.id: r.component for r in near_copies.near_copies(df).collect()} == {100 + i: i for i in range(0, 40, 4)}
+    assert keys[0] > 0
+    assert again == [0]
