@@ -95,3 +95,11 @@ def test_query_matches_sql(same):
 
     same(QUERIES["op13_vector_codes"], ORACLE["op13_vector_codes"])
     same(QUERIES["op11_phrase_collocations"], ORACLE["op11_phrase_collocations"])
+
+
+def test_an_empty_table_gives_no_rows(spark, sf, tmp_path):
+    """The query reads ``embeddings`` alone, which ``test_empty_tables`` doesn't write."""
+    from eventloom.llm import queries
+
+    spark.read.parquet(f"{sf}/embeddings.parquet").limit(0).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert queries.QUERIES["op13_vector_codes"](spark, str(tmp_path)).collect() == []
