@@ -4,6 +4,11 @@ A subscription names label values that an event must all have, and a least sever
 filed under the one of its conditions that the fewest events meet (one without labels: under
 the severities that it takes), so an event looks up its own labels and severity by hash and
 only the subscriptions found there are checked in full.  No plan grows with their number.
+
+Subscriptions that ask for the same are looked up once, as one set of conditions.  What is
+only counted (``tallied``) never lists all pairs of subscriptions
+and events: events of equal labels and severity meet the same sets, so they are put together
+before the lookup, and subscriptions get what their set got after it.
 """
 
 from __future__ import annotations
@@ -25,6 +30,11 @@ def _conditions(labels: Column) -> Column:
     return F.transform(F.map_entries(labels), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
 
 
+def _sorted_conditions(labels: Column) -> Column:
+    """Equal for equal maps; a null map is an empty one."""
+    return F.array_sort(F.coalesce(_conditions(labels), F.array().cast("array<struct<k:string,v:string>>")))
+
+
 def filed(subscribers: DataFrame, envelopes: DataFrame) -> DataFrame:
     """(k, v, name, sev_rank, labels): each of ``subscribers`` (name, sev_rank, labels) under its rarest condition."""
     known = cut(subscribers.select("name", "sev_rank", F.coalesce("labels", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("labels")))
@@ -52,6 +62,24 @@ def matched(envelopes: DataFrame, subscribers: DataFrame) -> DataFrame:
     return found.where((F.col("sev_rank") >= F.col("_least")) & every).select(*envelopes.columns, "subscriber")
 
 
+def condition_sets(subscribers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each set of conditions once, as a subscription (name, sev_rank, labels), and the (name, subscriber) that ask for it."""
+    known = subscribers.where(F.col("sev_rank").isNotNull()).select(F.col("name").alias("subscriber"), "sev_rank", _sorted_conditions(F.col("labels")).alias("_asked"))
+    sets = small(known.select("sev_rank", "_asked").distinct().withColumn("name", F.monotonically_increasing_id()))
+    members = known.join(sets, ["sev_rank", "_asked"]).select("name", "subscriber")
+    return sets.select("name", "sev_rank", F.map_from_entries("_asked").alias("labels")), members
+
+
+def tallied(envelopes: DataFrame, subscribers: DataFrame, event: str = "event_id") -> DataFrame:
+    """(subscriber, n, first_id, last_id): how many events each gets, and the least and greatest ``event`` of them."""
+    sets, members = condition_sets(subscribers)
+    alike = envelopes.groupBy("sev_rank", _sorted_conditions(F.col("labels")).alias("labels")).agg(F.count("*").alias("n"), F.min(event).alias("first_id"), F.max(event).alias("last_id"))
+    met = matched(cut(alike.withColumn("labels", F.map_from_entries("labels"))), sets)
+    totals = (F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"))
+    got = small(met.groupBy(F.col("subscriber").alias("name")).agg(*totals))
+    return members.join(got, "name").groupBy("subscriber").agg(*totals)
+
+
 def capped(hits: DataFrame, most: int, order: list[str], subscriber: str = "subscriber") -> DataFrame:
     """The first ``most`` rows of each subscriber by ``order``.
 
@@ -63,7 +91,7 @@ def capped(hits: DataFrame, most: int, order: list[str], subscriber: str = "subs
     return first.withColumn("_nth", F.row_number().over(Window.partitionBy(subscriber).orderBy(*order))).where(F.col("_nth") <= most).drop("_nth", "_part")
 
 
-def delivery(hits: DataFrame, most: int, subscriber: str = "subscriber") -> DataFrame:
-    """(subscriber, delivered, dropped) when each has room for ``most`` rows."""
-    n = F.count("*")
-    return hits.groupBy(subscriber).agg(F.least(n, F.lit(most).cast("long")).alias("delivered"), F.greatest(n - most, F.lit(0).cast("long")).alias("dropped"))
+def delivery(counts: DataFrame, most: int, subscriber: str = "subscriber") -> DataFrame:
+    """(subscriber, delivered, dropped) of ``counts`` (subscriber, n) when each has room for ``most`` rows."""
+    n = F.col("n")
+    return counts.select(subscriber, F.least(n, F.lit(most).cast("long")).alias("delivered"), F.greatest(n - most, F.lit(0).cast("long")).alias("dropped"))

@@ -46,7 +46,7 @@ def capped_tail(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ag10_indexed_counts", ENV_SQL + _WANTED + " SELECT subscriber, least(count(*), 50) AS delivered, greatest(count(*) - 50, 0) AS dropped FROM hits GROUP BY subscriber")
 def indexed_counts(spark: SparkSession, d: str) -> DataFrame:
-    return subscriptions.delivery(subscriptions.matched(env(spark, d), _subscribers(spark, d)), 50)
+    return subscriptions.delivery(subscriptions.tallied(env(spark, d), _subscribers(spark, d)), 50)
 
 
 # Directives: a filter with one for every region and bucket, over names that hold both.

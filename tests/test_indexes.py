@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from eventloom.functions import filters
 from eventloom.functions.envelope import from_events
 from eventloom.operators import cardinality, directives, exports, retention, subscriptions
+from eventloom.plans import index_queries
+from eventloom.plans.registry import QUERIES
 from eventloom.sinks import tables
 
 
@@ -49,6 +51,46 @@ def test_ten_thousand_subscribers(spark, events):
     assert {k: sorted(v) for k, v in first.items()} == {k: sorted(sorted(v, key=order.get)[:2]) for k, v in found.items() if k < 40}
 
 
+@pytest.mark.parametrize("name", ["ag10_indexed_counts"])
+def test_subscribers_that_ask_alike_are_matched_once(name, spark, sf, tmp_path, monkeypatch):
+    customers, pairs = spark.read.parquet(f"{sf}/customer.parquet"), []
+    spark.read.parquet(f"{sf}/events.parquet").write.parquet(f"{tmp_path}/events.parquet")
+    n = customers.count()
+    # 750 numbers on, a customer asks for the same again
+    customers.crossJoin(spark.range(100).select(F.col("id").alias("i"))).withColumn("c_custkey", F.col("c_custkey") + F.col("i") * 750).drop("i").write.parquet(f"{tmp_path}/customer.parquet")
+    plain = subscriptions.matched
+
+    def counted(*given):
+        found = plain(*given)
+        pairs.append(found.count())
+        return found
+
+    own = {r.subscriber: r for r in plain(index_queries.env(spark, sf), index_queries._subscribers(spark, sf)).groupBy("subscriber").agg(F.count("*").alias("n"), F.min("event_id").alias("a"), F.max("event_id").alias("b")).collect()}
+    monkeypatch.setattr(subscriptions, "matched", counted)
+    found = QUERIES[name](spark, str(tmp_path)).collect()
+    assert n == 150 and sum(pairs) <= 2 * sum(r.n for r in own.values())  # not 100 times as many
+    assert len({r.subscriber for r in found}) == 100 * len(own)
+    for r in found:
+        want = own[r.subscriber % 750]
+        if name == "ag10_indexed_counts":
+            assert (r.delivered, r.dropped) == (min(want.n, 50), max(want.n - 50, 0))
+        elif name == "jn12_subscription_index":
+            assert (r.n, r.first_id, r.last_id) == (want.n, want.a, want.b)
+
+
+def test_tallies_of_repeated_names(spark, events):
+    subs = [(1, 2, {"region": "1"}), (1, 2, {"region": "1"}), (1, 5, None), (2, 5, {}), (3, 1, {"region": None}), (4, None, {}), (5, 1, {"bucket": "2", "region": "1"})]
+    table = spark.createDataFrame(subs, "name long, sev_rank int, labels map<string,string>")
+    rows = events.select("event_id", "ts_ns", "sev_rank", "labels").collect()
+    hits = {}
+    for name, least, labels in subs:
+        met = [(r.ts_ns, r.event_id) for r in rows if least is not None and r.sev_rank >= least and all(v is not None and r.labels.get(k) == v for k, v in (labels or {}).items())]
+        hits[name] = sorted(hits.get(name, []) + met)
+    hits = {k: v for k, v in hits.items() if v}
+    ids = {k: [e for _, e in v] for k, v in hits.items()}
+    assert {r.subscriber: (r.n, r.first_id, r.last_id) for r in subscriptions.tallied(events, table).collect()} == {k: (len(v), min(v), max(v)) for k, v in ids.items()}
+
+
 def _rules(n, seed):
     rng = np.random.default_rng(seed)
     words = [w.lower() for w in ("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL")] + ["off"]
