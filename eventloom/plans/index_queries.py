@@ -33,8 +33,7 @@ def _subscribers(spark: SparkSession, d: str) -> DataFrame:
 
 @query("jn12_subscription_index", ENV_SQL + _WANTED + " SELECT subscriber, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM hits GROUP BY subscriber")
 def subscription_index(spark: SparkSession, d: str) -> DataFrame:
-    hits = subscriptions.matched(env(spark, d), _subscribers(spark, d))
-    return hits.groupBy("subscriber").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+    return subscriptions.tallied(env(spark, d), _subscribers(spark, d))
 
 
 @query("sk20_capped_tail", ENV_SQL + _WANTED + " SELECT subscriber, event_id FROM hits QUALIFY row_number() OVER (PARTITION BY subscriber ORDER BY ts_ns, event_id) <= 3")

@@ -51,7 +51,7 @@ def test_ten_thousand_subscribers(spark, events):
     assert {k: sorted(v) for k, v in first.items()} == {k: sorted(sorted(v, key=order.get)[:2]) for k, v in found.items() if k < 40}
 
 
-@pytest.mark.parametrize("name", ["ag10_indexed_counts"])
+@pytest.mark.parametrize("name", ["ag10_indexed_counts", "jn12_subscription_index"])
 def test_subscribers_that_ask_alike_are_matched_once(name, spark, sf, tmp_path, monkeypatch):
     customers, pairs = spark.read.parquet(f"{sf}/customer.parquet"), []
     spark.read.parquet(f"{sf}/events.parquet").write.parquet(f"{tmp_path}/events.parquet")
