@@ -6,7 +6,7 @@ the severities that it takes), so an event looks up its own labels and severity
 only the subscriptions found there are checked in full.  No plan grows with their number.
 
 Subscriptions that ask for the same are looked up once, as one set of conditions.  What is
-only counted (``tallied``) never lists all pairs of subscriptions
+only counted or capped (``tallied``, ``first_events``) never lists all pairs of subscriptions
 and events: events of equal labels and severity meet the same sets, so they are put together
 before the lookup, and subscriptions get what their set got after it.
 """
@@ -80,6 +80,15 @@ def tallied(envelopes: DataFrame, subscribers: DataFrame, event: str = "event_id
     return members.join(got, "name").groupBy("subscriber").agg(*totals)
 
 
+def first_events(envelopes: DataFrame, subscribers: DataFrame, most: int, order: list[str]) -> DataFrame:
+    """(subscriber, ``order``): the first ``most`` events that each gets; those are among the first ones of their labels and severity."""
+    sets, members = condition_sets(subscribers)
+    alike = envelopes.select("sev_rank", _sorted_conditions(F.col("labels")).alias("labels"), *order).withColumn("_alike", F.struct("sev_rank", "labels"))
+    first = cut(capped(alike, most, order, "_alike").drop("_alike").withColumn("labels", F.map_from_entries("labels")))
+    got = small(capped(matched(first, sets).withColumnRenamed("subscriber", "name"), most, order, "name").select("name", *order))
+    return capped(members.join(got, "name"), most, order).select("subscriber", *order)
+
+
 def capped(hits: DataFrame, most: int, order: list[str], subscriber: str = "subscriber") -> DataFrame:
     """The first ``most`` rows of each subscriber by ``order``.
 

@@ -39,8 +39,7 @@ def subscription_index(spark: SparkSession, d: str) -> DataFrame:
 @query("sk20_capped_tail", ENV_SQL + _WANTED + " SELECT subscriber, event_id FROM hits QUALIFY row_number() OVER (PARTITION BY subscriber ORDER BY ts_ns, event_id) <= 3")
 def capped_tail(spark: SparkSession, d: str) -> DataFrame:
     """The first three events of each subscriber: what fits into its buffer."""
-    hits = subscriptions.matched(env(spark, d), _subscribers(spark, d)).select("subscriber", "ts_ns", "event_id")
-    return subscriptions.capped(hits, 3, ["ts_ns", "event_id"]).select("subscriber", "event_id")
+    return subscriptions.first_events(env(spark, d), _subscribers(spark, d), 3, ["ts_ns", "event_id"]).select("subscriber", "event_id")
 
 
 @query("ag10_indexed_counts", ENV_SQL + _WANTED + " SELECT subscriber, least(count(*), 50) AS delivered, greatest(count(*) - 50, 0) AS dropped FROM hits GROUP BY subscriber")

@@ -51,7 +51,7 @@ def test_ten_thousand_subscribers(spark, events):
     assert {k: sorted(v) for k, v in first.items()} == {k: sorted(sorted(v, key=order.get)[:2]) for k, v in found.items() if k < 40}
 
 
-@pytest.mark.parametrize("name", ["ag10_indexed_counts", "jn12_subscription_index"])
+@pytest.mark.parametrize("name", ["ag10_indexed_counts", "jn12_subscription_index", "sk20_capped_tail"])
 def test_subscribers_that_ask_alike_are_matched_once(name, spark, sf, tmp_path, monkeypatch):
     customers, pairs = spark.read.parquet(f"{sf}/customer.parquet"), []
     spark.read.parquet(f"{sf}/events.parquet").write.parquet(f"{tmp_path}/events.parquet")
@@ -89,6 +89,10 @@ def test_tallies_of_repeated_names(spark, events):
     hits = {k: v for k, v in hits.items() if v}
     ids = {k: [e for _, e in v] for k, v in hits.items()}
     assert {r.subscriber: (r.n, r.first_id, r.last_id) for r in subscriptions.tallied(events, table).collect()} == {k: (len(v), min(v), max(v)) for k, v in ids.items()}
+    got = {}
+    for r in subscriptions.first_events(events, table, 3, ["ts_ns", "event_id"]).collect():
+        got[r.subscriber] = sorted([*got.get(r.subscriber, []), (r.ts_ns, r.event_id)])
+    assert got == {k: v[:3] for k, v in hits.items()}
 
 
 def _rules(n, seed):
