@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventloom.llm import vectext as vt
-from eventloom.llm.common import map_arrow, row_slices
+from eventloom.llm.common import cut_lineage, map_arrow, row_slices
 
 TOKENS = 2048
 SEGMENTS = 128
@@ -192,7 +192,9 @@ def pack_conversations(turns: DataFrame, path: str | None = None, id_col: str =
     assistant's turns bear loss (each turn ends with one more token).  Rows without an id are
     one conversation; an example over a limit has a sequence of its own.  A task packs a window
     of ``WINDOW`` examples at a time and carries half of them over, so only its last sequences
-    can be short, and the batches that rows come in don't matter.
+    can be short, and the batches that rows come in don't matter.  Examples reach a task in the
+    order in which executors send them, so another run may pack them otherwise: the result is
+    checkpointed, and all that read it see the same sequences.
     """
     from eventloom.llm.tokens import default_path
 
@@ -245,7 +247,7 @@ def pack_conversations(turns: DataFrame, path: str | None = None, id_col: str =
             yield out(0)
 
     placed = map_arrow(examples, place, f"id {kind}, sequence_id long, offset long, length long, segments long, loss long")
-    return placed.withColumnRenamed("id", id_col)
+    return cut_lineage(placed.withColumnRenamed("id", id_col))
 
 
 def vector_bins(demands: np.ndarray, limit: np.ndarray, leave: int = 0) -> list[list[int]]:

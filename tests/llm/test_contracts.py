@@ -171,6 +171,29 @@ def test_conversations_fill_their_sequences(spark, sf, monkeypatch):
         assert len({r[1] for r in rows}) <= 1.25 * least + len(tasks)
 
 
+def test_sequences_hold_in_any_order_of_examples(spark, sf, tmp_path, monkeypatch):
+    """Executors send a shuffle's rows in any order, another one each time that they are read."""
+    plain = packing.map_arrow
+
+    def in_any_order(df, run, schema):
+        def mixed(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            yield from run(b.take(pa.array(np.random.default_rng().permutation(b.num_rows))) for b in batches)
+
+        return plain(df, mixed, schema)
+
+    monkeypatch.setattr(packing, "map_arrow", in_any_order)
+    monkeypatch.setattr(packing, "WINDOW", 16)
+    at = f"{tmp_path}/conversations.parquet"
+    spark.read.parquet(f"{sf}/conversations.parquet").crossJoin(spark.range(30)).withColumn("conv_id", F.col("conv_id") * 30 + F.col("id")).drop("id").write.parquet(at)
+    found = queries.packed_conversations(spark, str(tmp_path)).collect()
+    turns = {r["conv_id"]: r["count"] for r in spark.read.parquet(at).groupBy("conv_id").count().collect()}
+    assert sorted((r["conv_id"], r["segments"]) for r in found) == sorted(turns.items())
+    assert all(r["fits"] and r["gapless"] for r in found)
+
+
 def test_conversations_of_odd_rows(spark):
     kinds = "conv_id long, turn long, role string, text string"
     rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, None, None), (None, 0, "assistant", "ok"), (2, 0, "assistant", "word " * 3000), (3, 0, "user", "")]
