@@ -176,4 +176,4 @@ def stream_expiry(spark: SparkSession, d: str) -> DataFrame:
     rows = env(spark, d).select("user_id", "ts_ns", "event_id", F.lit("").alias("kind"))
     with timers.rocksdb(spark):
         found = drained(timers.expiring_series(_streamed(spark, rows, "points"), "user_id", _HELD), "lives")
-    return found.where("user_id >= 0")
+    return found.where(F.col("last_ns") < _FAR)

@@ -3,17 +3,20 @@
 ``OrderedRows`` holds a key's rows until the watermark has passed them, hands them to a
 subclass in the order of their times, and calls it when a deadline of its own passes.  So a
 stream gives the rows that the whole table would, in any number of micro-batches, and state
-that nothing follows leaves by a timer.  Times up to 1970 are late for any stream.  These streams need the RocksDB state store
+that nothing follows leaves by a timer.  A key has a timer for its first row that waits and
+one for its deadline, however many rows it holds.  Times up to 1970 are late for any stream.  These streams need the RocksDB state store
 (``rocksdb``).
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
@@ -22,6 +25,8 @@ from eventloom.plans.shipping import ship
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Waiting rows of a key that are kept as one value of its state.
+_ROWS = 4096
 
 
 @contextmanager
@@ -35,6 +40,12 @@ def rocksdb(spark: SparkSession):
         spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
 
 
+def _packed(rows: Iterator[Row]) -> Iterator[list[tuple]]:
+    """``rows`` as lists of at most ``_ROWS`` places and kinds."""
+    while part := [(int(r["ts_ns"]), int(r["id"]), str(r["kind"])) for r in itertools.islice(rows, _ROWS)]:
+        yield part
+
+
 class OrderedRows(StatefulProcessor):
     """Folds a key's rows in event time; a subclass says what a row does and when it has waited enough.
 
@@ -63,47 +74,52 @@ class OrderedRows(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts_ns long, id long, kind string")
+        self.waiting = handle.getListState("waiting", "rows string")
         self.state = handle.getValueState("held", "value string")
 
+    def _wake(self, ns: int) -> None:
+        """A timer for the first watermark after ``ns``."""
+        self.handle.registerTimer(ns // 10**6 + 1)
+
     def handleInputRows(self, key, rows, timerValues):
-        times = set()
-        for part in rows:
-            new = [(int(t), int(i), str(k)) for t, i, k in zip(part["ts_ns"], part["id"], part["kind"], strict=True)]
-            self.waiting.appendList(new)
-            times |= {t // 10**6 + 1 for t, _, _ in new}
-        for t in times:
-            self.handle.registerTimer(t)
+        firsts = []
+        for part in _packed(rows):
+            self.waiting.appendValue((json.dumps(part),))
+            firsts.append(min(part)[0])
+        if firsts:
+            self._wake(min(firsts))  # one timer for all: when it expires, the next row that waits gets one
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        import pandas as pd
-
         upto = timerValues.getCurrentWatermarkInMs() * 10**6
-        waiting = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
-        due = [x for x in waiting if x[0] < upto]
-        held = json.loads(self.state.get()[0]) if self.state.exists() else {}
+        waiting = sorted(tuple(x) for (part,) in self.waiting.get() for x in json.loads(part))
+        found = self.state.get()
+        held = json.loads(found[0]) if found else {}
+        n = bisect.bisect_left(waiting, (upto,))
         out = []
-        for ts, event, kind in due:
+        for ts, event, kind in waiting[:n]:
             last = self.deadline(held)
             if last is not None and ts > last:
                 out += self.overdue(held)
             out += self.row(held, ts, event, kind)
         last = self.deadline(held)
-        if last is not None and last < upto:
+        over = last is not None and last < upto
+        if over:
             out += self.overdue(held)
-            last = None
-        if due:
-            rest = waiting[len(due) :]
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        if held:
+        if n:
+            rest = waiting[n:]
+            if rest:
+                self.waiting.put([(json.dumps(rest[i : i + _ROWS]),) for i in range(0, len(rest), _ROWS)])
+                self._wake(rest[0][0])
+            else:
+                self.waiting.clear()
+        if held and (n or over):
             self.state.update((json.dumps(held),))
-            self.handle.registerTimer(last // 10**6 + 1)
-        else:
+            self._wake(self.deadline(held))
+        elif found and not held:
             self.state.clear()
-        if out:
-            # as objects: a null among whole numbers would turn nanoseconds into floats
-            yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in zip([self.key, *self.columns], zip(*((key[0], *x) for x in out), strict=True), strict=True)})
+        for row in out:
+            yield Row(**dict(zip([self.key, *self.columns], (key[0], *row), strict=True)))
 
     def close(self) -> None:
         pass
@@ -162,7 +178,7 @@ def _folded(stream: DataFrame, key: str, processor: OrderedRows, late: str) -> D
     ship(stream.sparkSession)
     kind = stream.schema[key].dataType.simpleString()
     rows = _timed(stream, late).groupBy(key)
-    return rows.transformWithStateInPandas(statefulProcessor=processor, outputStructType=f"`{key}` {kind}, {processor.COLUMNS}", outputMode="append", timeMode="EventTime")
+    return rows.transformWithState(statefulProcessor=processor, outputStructType=f"`{key}` {kind}, {processor.COLUMNS}", outputMode="append", timeMode="EventTime")
 
 
 def pairs(stream: DataFrame, key: str, timeout_ns: int = 60 * 10**9, late: str = "10 minutes") -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from eventloom.catalog import ORACLE, QUERIES
 from eventloom.operators import counting
 from eventloom.sources import growing, ndjson
 from eventloom.streaming import timers
@@ -83,6 +84,36 @@ def test_series_expire(spark, tmp_path):
     assert ("a", 70 * SECOND, 70 * SECOND, 1) in feed.put([("c", 200 * SECOND, 5)])
 
 
+def test_a_key_has_one_timer_for_all_rows_that_wait(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(None if i % 50 == 0 else f"k{i % 7}", int(rng.integers(1, 3000)) * SECOND + int(rng.integers(0, 2)), i) for i in range(700)]
+    spark.createDataFrame([*rows, ("z", 10**6 * SECOND, 700)], "key string, ts_ns long, id long").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("key string, ts_ns long, id long").parquet(f"{tmp_path}/in")
+    with timers.rocksdb(spark):
+        made = timers.expiring_series(stream, "key", 10 * SECOND, "1 second")
+        q = made.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out")
+        q.awaitTermination()
+    series = {}
+    for key, ts, _ in sorted(rows, key=lambda r: r[1]):
+        mine = series.setdefault(key, [])
+        if mine and ts - mine[-1][1] <= 10 * SECOND:
+            mine[-1][1:] = ts, mine[-1][2] + 1
+        else:
+            mine.append([ts, ts, 1])
+    assert sorted(map(repr, (tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()))) == sorted(repr((k, *x)) for k, v in series.items() for x in v)
+    assert sum(p.stateOperators[0].customMetrics["numRegisteredTimers"] for p in q.recentProgress if p.stateOperators) <= 2 * 9  # 8 keys and z
+
+
+def test_series_of_unknown_and_negative_users(spark, sf, duck, tmp_path):
+    user = F.when(F.col("user_id") % 5 > 1, F.col("user_id")).when(F.col("user_id") % 5 == 1, -F.col("user_id"))
+    spark.read.parquet(f"{sf}/events.parquet").withColumn("user_id", user).write.parquet(f"{tmp_path}/events.parquet")
+    with duck.cursor() as own:
+        own.execute(f"CREATE TEMP VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+        want = own.execute(ORACLE["sr09_stream_expiry"]).fetchall()
+    got = QUERIES["sr09_stream_expiry"](spark, str(tmp_path)).select("user_id", "first_ns", "last_ns", "n").collect()
+    assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, want)) and any(r.user_id is None for r in got)
+
+
 def _follow(spark, at, out):
     q = growing.lines(spark, f"{at}", split=40).writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(str(out))
     q.awaitTermination()
